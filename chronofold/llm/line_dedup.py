@@ -195,7 +195,7 @@ def probe_by_shard(docs: DataFrame, index: DataFrame, shards: int, id_col: str,
     hashes = held.select(F.col(f"`{row}`").alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "row long, doc long, at long, lo long, hi long, shard long")
     salts = index.select("shard", F.greatest(F.lit(1), F.ceil(F.col("probes") / probes)).cast("long").alias("salts"))
     dealt = hashes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.col("salts")))
-    copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).cast("long")).select("shard", "salt", "blob")
+    copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shard", "salt", "blob")
     gone = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "row long, at long")
     gone = gone.groupBy("row").agg(F.collect_list("at").alias("gone")).withColumnRenamed("row", "gone_row")
     base = without(docs, [f.name for f in RESULT])

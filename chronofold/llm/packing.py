@@ -1,8 +1,8 @@
 """Best-two-fit packing of token sequences.
 
 A bin is filled greedily, always with the longest unpacked piece that fits.  Then its smallest piece is
-taken out if two unpacked pieces fit the gap so expanded more tightly; that is repeated while it helps.  Only lengths
-matter, so a packer works on counts by length, and each bin costs a few vector operations over the capacity.
+replaced by two unpacked pieces if they fit the gap so expanded more tightly: once for each bin, because a chain of replacements
+spends the small pieces that later bins need.  Only lengths matter, so a packer works on counts by length, and each bin costs a few vector operations over the capacity.
 
 Pieces of a full sequence are bins of their own.  The others are dealt by hash to groups of about ``group_pieces`` rows, each
 packed by one task that holds only its lengths: the last, partly filled bins of the groups are the only loss against one
@@ -50,28 +50,23 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
             content.append(n)
             take(n)
             gap -= n
-        while gap and content:
+        if gap:
             small = min(content)
             room = gap + small
             first = np.flatnonzero(counts[: room + 1])
             first = first[first > 0]
-            if not len(first):
-                break
             second = longest[np.minimum(room - first, first)]
             # a pair of one length needs two pieces of it
             alone = (second == first) & (counts[first] < 2)
             second = np.where(alone, longest[np.maximum(np.minimum(room - first, first - 1), 0)], second)
             both = np.where(second > 0, first + second, 0)
-            best = int(np.argmax(both))
-            if both[best] <= small:
-                break
-            pair = [int(first[best]), int(second[best])]
-            content.remove(small)
-            put_back(small)
-            for n in pair:
-                take(n)
-            content += pair
-            gap = room - int(both[best])
+            best = int(np.argmax(both)) if len(both) else 0
+            if len(both) and both[best] > small:
+                content.remove(small)
+                put_back(small)
+                for n in (int(first[best]), int(second[best])):
+                    content.append(n)
+                    take(n)
         total -= len(content)
         bins.append(content)
     return bins
