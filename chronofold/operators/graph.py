@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.sources.scratch import cut_lineage
+
 
 def neighbourhood(edges: DataFrame, anchors: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """(id, distance) within ``depth`` hops of the anchors (column id); edges have src and dst.
@@ -14,6 +16,7 @@ def neighbourhood(edges: DataFrame, anchors: DataFrame, depth: int, directed: bo
     links = edges.select("src", "dst").distinct()
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    links = cut_lineage(links)  # read once a level, made once
     seen = anchors.select("id").distinct().withColumn("distance", F.lit(0).cast("long"))
     frontier = seen
     for level in range(1, depth + 1):
@@ -25,7 +28,7 @@ def neighbourhood(edges: DataFrame, anchors: DataFrame, depth: int, directed: bo
 
 def simple_paths(edges: DataFrame, source, target, hops: int) -> DataFrame:
     """Directed paths of at most ``hops`` edges from source to target without repeated nodes: path (ids joined by '>'), length."""
-    links = edges.select("src", "dst").distinct()
+    links = cut_lineage(edges.select("src", "dst").distinct())
     walk = links.filter(F.col("src") == source).select(F.array("src", "dst").alias("nodes"))
     found = walk
     for _ in range(hops - 1):

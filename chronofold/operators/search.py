@@ -13,7 +13,8 @@ def tokens(text: Column) -> Column:
 
 def lexical_or(docs: DataFrame, terms: list[str], text: str, ident: str, k: int) -> DataFrame:
     """Documents that hold any term, by number of occurrences, then id; the top ``k``."""
-    hits = F.size(F.filter(tokens(F.col(text)), lambda t: t.isin(terms))).cast("long")
+    any_term = "(?<![a-z0-9])(?:" + "|".join(sorted(terms)) + ")(?![a-z0-9])"  # terms are words of [a-z0-9]
+    hits = F.regexp_count(F.lower(text), F.lit(any_term)).cast("long")
     return docs.select(ident, hits.alias("score")).filter("score > 0").orderBy(F.desc("score"), ident).limit(k)
 
 
