@@ -71,3 +71,8 @@ def query_tokens(text: Column, stop: list[str], most: int = 16) -> Column:
     split = F.regexp_replace(text, r"(?<=[a-z0-9])(?=[A-Z])", " ")
     words = F.regexp_extract_all(F.lower(split), F.lit("[0-9a-zà-öø-ÿ]+"), F.lit(0))
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 2) & (F.char_length(w) <= 48) & ~w.isin(stop))), 1, most)
+
+
+def git_blob_id(data: Column) -> Column:
+    """SHA-1 of ``blob <size>`` NUL and the bytes."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(data).cast("string")), "UTF-8"), F.unhex(F.lit("00")), data))

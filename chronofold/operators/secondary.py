@@ -93,3 +93,16 @@ def resolve_kind(ids: DataFrame, kinds: list[tuple[str, DataFrame]]) -> DataFram
 
     named = reduce(DataFrame.unionByName, [t.select("id", F.lit(i).alias("k"), F.lit(n).alias("kind")) for i, (n, t) in enumerate(kinds)])
     return ids.join(named, "id").groupBy("id").agg(F.min_by("kind", "k").alias("kind"))
+
+
+def latest_before(df: DataFrame, scope: list[str], order: list[str], binds: str, ident: str) -> DataFrame:
+    """Backward as-of: the latest row of the scope that binds, strictly before each row."""
+    w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("bound_to", F.last(F.when(F.col(binds), F.col(ident)), ignorenulls=True).over(w))
+
+
+def snapshot_id(entries: DataFrame, scope: list[str], columns: list[str]) -> DataFrame:
+    """Per scope the digest of its entries, joined by newlines in order of the first column; dirty entries of one checkout are few."""
+    line = F.concat_ws("|", *columns)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.lpad(F.col(columns[0]).cast("string"), 20, "0").alias("k"), line.alias("line")))), lambda x: x["line"])
+    return entries.groupBy(*scope).agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("snapshot_id"))

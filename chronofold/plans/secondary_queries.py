@@ -8,6 +8,7 @@ from chronofold.functions import scalars as sc
 from chronofold.functions.structure import structure
 from chronofold.operators import secondary as op
 from chronofold.plans.ledger_queries import BOX, EV
+from chronofold.sources.ingest import gate
 from chronofold.sources.tables import ledger, outbox, table
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -147,8 +148,69 @@ STRUCTURE_SQL = """WITH s AS (SELECT 'p' || p_partkey || '.py' AS path, 'C' || r
 r(record, kind, name, start_line) AS (VALUES ('reference', 'imports', 'os', 1), ('symbol', 'class', '@', 2), ('reference', 'inherits', 'Base', 2), ('symbol', 'method', '@.m', 3), ('reference', 'calls', 'os.getcwd', 4), ('symbol', 'constant', 'LIMIT', 5))
 SELECT path, record, kind, replace(name, '@', c) AS name, CAST(start_line AS BIGINT) AS start_line FROM s, r WHERE NOT bad UNION ALL SELECT path, 'diagnostic', 'SyntaxError', '', 6 FROM s WHERE bad"""
 
-QUERIES = {f.__name__: f for f in (scalar_identity, scalar_text, normal_urls, recency_rank, disambiguator_ordinals, scan_caps, version_cap, checkpoint_advance, delivery_retry, run_outcome, rename_resolution, hash_chain_build, kind_resolution, python_structure)}
+def ingest_batches(spark, d):
+    """Events as JSON lines in batches of 20; some are cut, some of an unknown type, some repeat a key."""
+    ev = ledger(spark, d)
+    kind = F.when(F.col("event_id") % 53 == 0, "mystery").otherwise(F.col("event_type"))
+    key = F.when(F.col("event_id") % 41 == 1, F.col("event_id") - 1).otherwise(F.col("event_id")).cast("string")
+    body = F.when(F.col("event_id") % 61 == 0, F.expr("left(body, 20)")).when(F.col("event_id") % 67 == 0, F.rpad("body", 5000, " ")).otherwise(F.col("body"))
+    raw = ev.withColumn("body", F.to_json(F.struct(F.floor(F.col("event_id") / 20).alias("batch_id"), F.lit("p").alias("producer_id"), key.alias("idempotency_key"), kind.alias("event_type"), "value")))
+    return gate(raw.select("event_id", body.alias("body"))).select("event_id", F.coalesce("reason", F.lit("accepted")).alias("outcome"))
+
+
+INGEST_SQL = """WITH r AS (SELECT event_id, event_id // 20 AS b, CASE WHEN event_id % 41 = 1 THEN event_id - 1 ELSE event_id END AS k,
+  CASE WHEN event_id % 61 = 0 THEN 'malformed' WHEN event_id % 67 = 0 THEN 'too_large' WHEN event_id % 53 = 0 THEN 'unknown_type' END AS reason FROM events),
+t AS (SELECT *, reason IS NULL AND count(*) FILTER (reason IS NULL) OVER (PARTITION BY b, k) > 1 AS twice FROM r)
+SELECT event_id, CASE WHEN twice THEN 'duplicate_key' WHEN reason IS NULL AND bool_or(twice) OVER (PARTITION BY b) THEN 'batch_rejected' ELSE coalesce(reason, 'accepted') END AS outcome FROM t"""
+
+
+def binding_as_of(spark, d):
+    """Each use (purchase) with the latest binding (signup or view) of its user strictly before it."""
+    return op.latest_before(ledger(spark, d).withColumn("binds", F.col("event_type").isin("signup", "view")), ["user_id"], ["occurred_at", "event_id"], "binds", "event_id").filter("event_type = 'purchase'").select("event_id", "bound_to")
+
+
+BINDING_SQL = f"""WITH {EV}, b AS (SELECT event_id, event_type, last_value(CASE WHEN event_type IN ('signup', 'view') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY occurred_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bound_to FROM ev)
+SELECT event_id, bound_to FROM b WHERE event_type = 'purchase'"""
+
+
+def git_blob_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", sc.git_blob_id(F.encode("text", "UTF-8")).alias("blob"))
+
+
+BLOB_SQL = "SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS blob FROM documents"
+
+
+def snapshot_ids(spark, d):
+    """A checkout-independent digest of each source's dirty entries (path, state, digest), in path order."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 2 == 0, "modified").otherwise("untracked").alias("state"), F.sha2("text", 256).alias("digest")).filter("doc_id % 5 = 0")
+    return op.snapshot_id(docs, ["source"], ["doc_id", "state", "digest"])
+
+
+SNAPSHOT_SQL = """SELECT source, count(*) AS n, sha256(string_agg(doc_id || '|' || CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'untracked' END || '|' || sha256(text), chr(10) ORDER BY lpad(CAST(doc_id AS VARCHAR), 20, '0'))) AS snapshot_id
+FROM documents WHERE doc_id % 5 = 0 GROUP BY source"""
+
+
+def diagnostics_counters(spark, d):
+    return ledger(spark, d).groupBy("event_type", "k").agg(F.least(F.count("*"), F.lit(10)).alias("n"))
+
+
+COUNTERS_SQL = f"WITH {EV} SELECT event_type, k, least(count(*), 10) AS n FROM ev GROUP BY ALL"
+
+
+def provisional_commit(spark, d):
+    """Provisional files against committed ones by path: the same blob 1.0, another blob 0.5; paths without a match go."""
+    p = table(spark, d, "part").select("p_brand", "p_size", "p_type", "p_partkey")
+    left = p.filter("p_partkey % 2 = 0").groupBy("p_brand", "p_size").agg(F.min("p_type").alias("blob"))
+    right = p.filter("p_partkey % 2 = 1").groupBy("p_brand", "p_size").agg(F.min("p_type").alias("committed"))
+    return left.join(right, ["p_brand", "p_size"]).select("p_brand", "p_size", F.when(F.col("blob") == F.col("committed"), 1.0).otherwise(0.5).alias("confidence"))
+
+
+PROVISIONAL_SQL = """WITH l AS (SELECT p_brand, p_size, min(p_type) AS b FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), r AS (SELECT p_brand, p_size, min(p_type) AS c FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL)
+SELECT p_brand, p_size, CAST(CASE WHEN b = c THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence FROM l JOIN r USING (p_brand, p_size)"""
+
+QUERIES = {f.__name__: f for f in (ingest_batches, binding_as_of, git_blob_ids, snapshot_ids, diagnostics_counters, provisional_commit, scalar_identity, scalar_text, normal_urls, recency_rank, disambiguator_ordinals, scan_caps, version_cap, checkpoint_advance, delivery_retry, run_outcome, rename_resolution, hash_chain_build, kind_resolution, python_structure)}
 ORACLE_SQL = {
+    "ingest_batches": INGEST_SQL, "binding_as_of": BINDING_SQL, "git_blob_ids": BLOB_SQL, "snapshot_ids": SNAPSHOT_SQL, "diagnostics_counters": COUNTERS_SQL, "provisional_commit": PROVISIONAL_SQL,
     "scalar_identity": IDENTITY_SQL, "scalar_text": TEXT_SQL, "normal_urls": URLS_SQL, "recency_rank": RECENCY_SQL, "disambiguator_ordinals": ORDINAL_SQL, "scan_caps": CAPS_SQL, "version_cap": CAP_SQL,
     "checkpoint_advance": ADVANCE_SQL, "delivery_retry": RETRY_SQL, "run_outcome": OUTCOME_SQL, "rename_resolution": RENAME_SQL, "hash_chain_build": HASH_CHAIN_SQL, "kind_resolution": KIND_SQL, "python_structure": STRUCTURE_SQL,
 }
