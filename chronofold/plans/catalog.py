@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.plans import history_queries, ledger_queries, retrieval_queries, secondary_queries
+from chronofold.plans import answer_queries, history_queries, ledger_queries, retrieval_queries, secondary_queries
 
 FLAGSHIP = "session_fold"
-_PARTS = (ledger_queries, history_queries, retrieval_queries, secondary_queries)
+_PARTS = (ledger_queries, history_queries, retrieval_queries, secondary_queries, answer_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for p in _PARTS for k, q in p.ORACLE_SQL.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import ledger_ops as ops
 from chronofold.operators import merge
+from chronofold.operators.secondary import set_digest
 from chronofold.sources.tables import ledger, outbox, table
 
 EV = """ev AS (SELECT event_id, user_id, 'u' || user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts AS occurred_at,
@@ -121,11 +122,11 @@ SELECT stream_id, CASE WHEN u % 7 = 0 THEN s + 1 ELSE s END AS stored_seq, s AS
 
 def orphan_provenance(spark, d):
     ev = table(spark, d, "events").select("event_id")
-    items = ev.filter("event_id % 3 = 0").select(F.array(F.col("event_id"), F.col("event_id") * 2).alias("sources"))
+    items = ev.select(F.array(F.col("event_id"), F.col("event_id") * 2).alias("sources"))
     return ops.orphans(items, "sources", ev)
 
 
-ORPHAN_SQL = """WITH i AS (SELECT unnest([event_id, event_id * 2]) AS source_id FROM events WHERE event_id % 3 = 0)
+ORPHAN_SQL = """WITH i AS (SELECT unnest([event_id, event_id * 2]) AS source_id FROM events)
 SELECT source_id, count(*) AS n_items FROM i WHERE source_id NOT IN (SELECT event_id FROM events) GROUP BY source_id"""
 
 
@@ -186,9 +187,7 @@ def graph_digest(spark, d):
     """
     s = table(spark, d, "supplier").select(F.lit("supplier").alias("label"), F.concat_ws("|", "s_suppkey", "s_name", "s_nationkey").alias("row"))
     c = table(spark, d, "customer").select(F.lit("customer").alias("label"), F.concat_ws("|", "c_custkey", "c_name", "c_nationkey").alias("row"))
-    h = s.unionByName(c).select("label", F.sha2("row", 256).alias("h"))
-    buckets = h.groupBy("label", F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("bh"), F.count("*").alias("n"))
-    return buckets.groupBy("label").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "bh"))), lambda x: x["bh"]), ""), 256).alias("digest"))
+    return set_digest(s.unionByName(c), ["label"], F.col("row"), "digest")
 
 
 DIGEST_SQL = """WITH h AS (SELECT 'supplier' AS label, sha256(s_suppkey || '|' || s_name || '|' || s_nationkey) AS h FROM supplier

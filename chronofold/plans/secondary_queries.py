@@ -127,13 +127,13 @@ HASH_CHAIN_SQL = f"""WITH RECURSIVE {EV}, c AS (SELECT stream_id, seq, sha256(ev
 
 
 def kind_resolution(spark, d):
-    ids = spark.range(0, 2000, 3).select("id")
+    ids = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
     kinds = [("region", table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"))), ("nation", table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))), ("supplier", table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))), ("customer", table(spark, d, "customer").select(F.col("c_custkey").alias("id")))]
     return op.resolve_kind(ids, kinds)
 
 
 KIND_SQL = """WITH k AS (SELECT r_regionkey AS id, 0 AS k, 'region' AS kind FROM region UNION ALL SELECT n_nationkey, 1, 'nation' FROM nation UNION ALL SELECT s_suppkey, 2, 'supplier' FROM supplier UNION ALL SELECT c_custkey, 3, 'customer' FROM customer)
-SELECT CAST(id AS BIGINT) AS id, arg_min(kind, k) AS kind FROM k WHERE id % 3 = 0 AND id < 2000 GROUP BY id"""
+SELECT CAST(id AS BIGINT) AS id, arg_min(kind, k) AS kind FROM k WHERE id IN (SELECT l_partkey FROM lineitem) GROUP BY id"""
 
 
 def python_structure(spark, d):
@@ -181,13 +181,14 @@ BLOB_SQL = "SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB
 
 
 def snapshot_ids(spark, d):
-    """A checkout-independent digest of each source's dirty entries (path, state, digest), in path order."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 2 == 0, "modified").otherwise("untracked").alias("state"), F.sha2("text", 256).alias("digest")).filter("doc_id % 5 = 0")
+    """A checkout-independent digest of each source's dirty entries (path, state, digest)."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 2 == 0, "modified").otherwise("untracked").alias("state"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     return op.snapshot_id(docs, ["source"], ["doc_id", "state", "digest"])
 
 
-SNAPSHOT_SQL = """SELECT source, count(*) AS n, sha256(string_agg(doc_id || '|' || CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'untracked' END || '|' || sha256(text), chr(10) ORDER BY lpad(CAST(doc_id AS VARCHAR), 20, '0'))) AS snapshot_id
-FROM documents WHERE doc_id % 5 = 0 GROUP BY source"""
+SNAPSHOT_SQL = """WITH h AS (SELECT source, sha256(doc_id || '|' || CASE WHEN doc_id % 2 = 0 THEN 'modified' ELSE 'untracked' END || '|' || sha256(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT source, h[1:3] AS b, sha256(string_agg(h, '' ORDER BY h)) AS bh, count(*) AS n FROM h GROUP BY ALL)
+SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(bh, '' ORDER BY b)) AS snapshot_id FROM b GROUP BY source"""
 
 
 def diagnostics_counters(spark, d):
