@@ -11,7 +11,7 @@ from chronofold.sources.scratch import cut_lineage
 def neighbourhood(edges: DataFrame, anchors: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """(id, distance) within ``depth`` hops of the anchors (column id); edges have src and dst.
 
-    At most four levels are read, so the loop is unrolled in one plan; visited nodes are taken out by anti-join.
+    Levels are unrolled two to a plan; visited nodes are taken out by anti-join.
     """
     links = edges.select("src", "dst").distinct()
     if not directed:
@@ -23,6 +23,9 @@ def neighbourhood(edges: DataFrame, anchors: DataFrame, depth: int, directed: bo
         step = frontier.join(links, frontier.id == links.src).select(F.col("dst").alias("id")).distinct()
         frontier = step.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(level).cast("long"))
         seen = seen.unionByName(frontier)
+        if level % 2 == 0 and level < depth:  # each level is read twice by the next, so a long walk would double its plan at every step
+            seen = cut_lineage(seen)
+            frontier = seen.filter(F.col("distance") == level)
     return seen
 
 

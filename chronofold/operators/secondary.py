@@ -71,20 +71,28 @@ def resolve_renames(removed: DataFrame, added: DataFrame, scope: str) -> DataFra
 
 
 def hash_chain(events: DataFrame, stream: str, order: str, body: str) -> DataFrame:
-    """digest = sha256(previous digest or '' + body), in order: the one rule here that is sequential by nature, run per stream."""
+    """digest = sha256(previous digest or '' + body), in order: the one rule here that is sequential by nature.
+
+    Streams are sorted, not gathered: a task holds one batch and one digest, however long a stream is.
+    """
     import hashlib
+    from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, last, out = group.sort_values(order), "", []
-        for text in group[body]:
-            last = hashlib.sha256((last + text).encode()).hexdigest()
-            out.append(last)
-        return pd.DataFrame({stream: group[stream], order: group[order], "digest": out})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = object(), ""
+        for batch in batches:
+            out = []
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                last = hashlib.sha256((("" if own != at else last) + text).encode()).hexdigest()
+                at = own
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=[stream, order, "digest"])
 
     kinds = dict(events.dtypes)
-    return events.select(stream, order, body).groupBy(stream).applyInPandas(fold, f"{stream} {kinds[stream]}, {order} {kinds[order]}, digest string")
+    rows = events.select(stream, order, F.coalesce(body, F.lit("")).alias(body)).repartition(stream).sortWithinPartitions(stream, order)
+    return rows.mapInArrow(fold, f"{stream} {kinds[stream]}, {order} {kinds[order]}, digest string")
 
 
 def resolve_kind(ids: DataFrame, kinds: list[tuple[str, DataFrame]]) -> DataFrame:
