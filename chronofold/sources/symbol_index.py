@@ -93,11 +93,16 @@ def read_index(indexes: DataFrame, name_col: str = "path", body_col: str = "cont
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 5 + [pa.int64()] * 4
+        pack = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=NAMES)
+        held: list[tuple] = []
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = [(name, *r) for r in rows(body.as_py())]
-                for k in range(0, len(got), 10_000):
-                    part = got[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=NAMES)
+                for row in rows(body.as_py()):
+                    held.append((name, *row))
+                    if len(held) >= 10_000:
+                        yield pack(held)
+                        held = []
+        if held:
+            yield pack(held)
 
     return indexes.select(F.col(name_col).cast("string"), F.col(body_col).cast("binary")).mapInArrow(run, SCHEMA)

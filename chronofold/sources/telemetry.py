@@ -135,10 +135,15 @@ def drafts(bodies: DataFrame, services: list[str], session_event: str, marker: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, *[pa.timestamp("us", "UTC")] * 2, pa.string()]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
+        held: list[tuple] = []
         for batch in batches:
-            for source, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one body's rows at a time
-                rows = one(source, body.as_py())
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
+            for source, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held += one(source, body.as_py())
+                if len(held) >= 2000:  # small bodies share a batch, a large one is at most one body more
+                    yield pack(held)
+                    held = []
+        if held:
+            yield pack(held)
 
     return bodies.select(F.col(name_col).cast("string"), F.col(body_col).cast("binary")).mapInArrow(run, SCHEMA)
