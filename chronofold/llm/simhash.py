@@ -31,23 +31,32 @@ from chronofold.llm.components import connected_components
 SHINGLE, MAX_DISTANCE, SEGMENTS, SEED, BUCKET_LIMIT = 3, 3, 4, 42, 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every word shingle in order, repeats included; a text shorter than a shingle has one, a text without words none."""
     words = (text or "").encode().lower().split()  # bytes: splits at \x20 \x09-\x0D and lowers A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     if len(words) <= shingle:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[k : k + n] for k in range(shingle)], strict=True))
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 for none."""
     counts = np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of word shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

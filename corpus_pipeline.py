@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import language, line_dedup, packing, simhash
+from chronofold.llm import language, line_dedup, near_copies, packing, simhash
 from chronofold.llm.common import documents, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +28,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the longest, among equals the one with the largest doc_id."""
+    """One document of each group of near copies stays: the longest, among equals the one with the largest doc_id.
+
+    Near copies are op2's: 3-word SimHashes within 3 bits.  ``near_dedup_jaccard`` takes all pairs of similar texts.
+    """
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
+def near_dedup_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Like ``near_dedup``, but near copies have 5-word shingle sets of Jaccard similarity 0.8 or more, tested exactly."""
+    return near_copies.keep_one(docs).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences."""
     return packing.pack_documents(docs)
@@ -42,8 +50,13 @@ STAGES = [("language_id", language_id), ("line_dedup", drop_lines), ("simhash_ne
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages=STAGES) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
+    for name, stage in stages[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)
+
+
+def run_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline with ``near_dedup_jaccard`` in place of the SimHash stage."""
+    return run(spark, sf_dir, [(n, near_dedup_jaccard if f is near_dedup else f) for n, f in STAGES])
