@@ -1,7 +1,8 @@
 """SpotSigs fingerprints and near-duplicate join, in DataFrame functions only.
 
 A text's words are runs of letters and digits, lower-cased.  Common words are anchors.  After each anchor (and at the start of the text) the next
-``CHAIN`` content words, later anchors skipped, form a signature; near the end chains are shorter.  The set of 32-bit signature hashes is
+``CHAIN`` content words, later anchors skipped, form a signature; near the end chains are shorter.  A word with ``CHAIN`` words and no anchor before it starts
+one too, so every word of every text, in whatever language, is in a signature.  The set of 32-bit signature hashes is
 the fingerprint.  A text with characters but no content word has one signature, of the whole text.
 
 The join compares sets only inside and between partitions of set length that can reach the threshold: sizes a <= b
@@ -11,6 +12,7 @@ the Jaccard similarity computed.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,12 +42,14 @@ def add_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, ancho
     The words and content words are columns of their own on the way, so that no expression is repeated for each
     element of an array.
     """
-    words, content = f"{out}__w", f"{out}__c"
+    words, anchor, content = f"{out}__w", f"{out}__a", f"{out}__c"
     df = df.withColumn(words, _words(F.col(text)))
+    df = df.withColumn(anchor, F.transform(F.col(words), lambda w: w.isin(anchors)))
 
     def mark(w: Column, i: Column) -> Column:
-        after_anchor = (i == 0) | F.get(F.col(words), i - 1).isin(anchors)
-        return F.when(~w.isin(anchors), F.when(after_anchor, F.concat(F.lit(MARK), w)).otherwise(w))
+        before = [F.get(F.col(anchor), i - k) for k in range(1, chain + 1)]
+        uncovered = (i >= chain) & ~functools.reduce(Column.__or__, before)
+        return F.when(~F.get(F.col(anchor), i), F.when((i == 0) | before[0] | uncovered, F.concat(F.lit(MARK), w)).otherwise(w))
 
     df = df.withColumn(content, F.filter(F.transform(F.col(words), mark), lambda w: w.isNotNull()))
 
@@ -57,7 +61,7 @@ def add_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, ancho
     bare = F.when(F.col(text) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(F.col(text))))
     # a text that starts with anchors has its first content word marked; content without a mark cannot occur
     df = df.withColumn(out, F.when(F.size(content) == 0, bare).otherwise(F.array_sort(F.array_distinct(found))))
-    return df.drop(words, content)
+    return df.drop(words, anchor, content)
 
 
 def as_string(signatures: Column) -> Column:
