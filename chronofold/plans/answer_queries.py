@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import web_query
 from chronofold.operators import answers, binding
-from chronofold.plans.retrieval_queries import LEXICAL_SQL, PHRASE_SQL, WORDS, lexical_and_phrase, lexical_or_topk
+from chronofold.plans.retrieval_queries import LEXICAL_SQL, PHRASE_SQL, WORDS, _documents, _english, _whole, lexical_and_phrase, lexical_or_topk
 from chronofold.sources import checkout, protowire, symbol_index, telemetry
 from chronofold.sources.tables import table
 
@@ -24,12 +24,12 @@ p AS (SELECT doc_id, w, pos, lag(w) OVER o AS before, lag(pos) OVER o AS prev FR
 SELECT doc_id, round(sum(0.1 / CAST(pos - prev AS DOUBLE)), 6) AS score FROM p WHERE before <> w GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100"""
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, of=_english):
     """Two capped reads as candidates of one answer: words in any order, and a phrase, which counts as the exact scope."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     reads = [
-        (lexical_or_topk(spark, d), "content", 0, 1, False, None, F.round(F.col("score") / (F.col("score") + 50), 6)),
-        (lexical_and_phrase(spark, d), "phrase", 1, 2, True, 1, F.round(F.col("score") / (F.col("score") + 10), 6)),
+        (lexical_or_topk(spark, d, of), "content", 0, 1, False, None, F.round(F.col("score") / (F.col("score") + 50), 6)),
+        (lexical_and_phrase(spark, d, of), "phrase", 1, 2, True, 1, F.round(F.col("score") / (F.col("score") + 10), 6)),
     ]
     out = None
     for hits, kind, priority, tier, exact, distance, match in reads:
@@ -41,11 +41,15 @@ def _candidates(spark, d):
     return out
 
 
-def candidate_rank(spark, d):
-    ranked = answers.rank_candidates(answers.merge_candidates(_candidates(spark, d)))
+def candidate_rank(spark, d, of=_english):
+    ranked = answers.rank_candidates(answers.merge_candidates(_candidates(spark, d, of)))
     return ranked.select("item_id", "kind", "score", "rank", F.array_join("citations", ",").alias("citations"), "capped")
 
 
+def candidate_rank_all(spark, d):
+    return candidate_rank(spark, d, _documents)
+
+
 RANKED = f"""lex AS ({LEXICAL_SQL}), ph AS ({PHRASE_SQL}),
 u AS (SELECT doc_id, 'content' AS kind, 0 AS p, 1 AS t, 0 AS e, NULL AS dist, round(score / (score + 50), 6) AS m FROM lex UNION ALL SELECT doc_id, 'phrase', 1, 2, 1, 1, round(score / (score + 10), 6) FROM ph),
 g AS (SELECT doc_id, max(kind) AS kind, max(p) AS p, max(t) AS t, max(e) AS e, min(dist) AS dist, max(m) AS m, list_sort(list_distinct(list(kind || ':' || source))) AS citations, any_value(source) AS source FROM u JOIN documents USING (doc_id) GROUP BY doc_id),
@@ -55,12 +59,16 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, item_id) AS rank FR
 RANK_SQL = f"WITH {RANKED} SELECT item_id, kind, score, rank, array_to_string(citations, ',') AS citations, false AS capped FROM ranked"
 
 
-def answer_page(spark, d):
+def answer_page(spark, d, of=_english):
     """The second page of an answer: ranks after the tenth within 2,000 bytes."""
-    ranked = answers.rank_candidates(answers.merge_candidates(_candidates(spark, d)))
+    ranked = answers.rank_candidates(answers.merge_candidates(_candidates(spark, d, of)))
     return answers.page(ranked, 10, 50, 2000, 10_000).select("item_id", "rank", "bytes", "used", "quoted")
 
 
+def answer_page_all(spark, d):
+    return answer_page(spark, d, _documents)
+
+
 ANSWER_SQL = f"""WITH {RANKED}, b AS (SELECT item_id, rank, strlen('{{"item_id":"' || item_id || '","kind":"' || kind || '","score":' || score || ',"citations":["' || array_to_string(citations, '","') || '"],"body":"' || source || '"}}') AS bytes FROM ranked WHERE rank > 10)
 SELECT * FROM (SELECT item_id, rank, bytes, CAST(sum(bytes) OVER (ORDER BY rank) + row_number() OVER (ORDER BY rank) + 1 AS BIGINT) AS used, true AS quoted FROM b) WHERE used <= 2000"""
 
@@ -153,7 +161,8 @@ SELECT p_partkey, 'symbol' AS record, symbol, '7' AS detail, NULL::BIGINT AS sta
 UNION ALL SELECT p_partkey, CASE WHEN z <= 5 THEN 'diagnostic' ELSE 'definition' END, symbol, CASE WHEN z <= 5 THEN 'invalid_range' END, CASE WHEN z > 5 THEN z END, CASE WHEN z > 5 THEN 5 END FROM p WHERE z <= 45
 UNION ALL SELECT p_partkey, 'diagnostic', NULL, 'unsafe_path', NULL, NULL FROM p WHERE z > 45"""
 
-QUERIES = {f.__name__: f for f in (cover_density, candidate_rank, answer_page, import_binding, index_listing, telemetry_drafts, symbol_index_rows)}
+QUERIES = {f.__name__: f for f in (cover_density, candidate_rank, answer_page, import_binding, index_listing, telemetry_drafts, symbol_index_rows, candidate_rank_all, answer_page_all)}
 ORACLE_SQL = {
     "cover_density": COVER_SQL, "candidate_rank": RANK_SQL, "answer_page": ANSWER_SQL, "import_binding": BIND_SQL, "index_listing": LISTING_SQL, "telemetry_drafts": TELEMETRY_SQL, "symbol_index_rows": SYMBOL_SQL,
+    "candidate_rank_all": _whole(RANK_SQL), "answer_page_all": _whole(ANSWER_SQL),
 }

@@ -74,22 +74,39 @@ def _english(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
 
 
-def lexical_or_topk(spark, d):
-    return search.lexical_or(_english(spark, d), ["tion", "there", "house"] + TERMS, "text", "doc_id", 100)
+def _documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _whole(sql):
+    """The SQL over the documents of every language, and of none."""
+    return sql.replace("FROM documents WHERE lang = 'en'", "FROM documents")
+
+
+def lexical_or_topk(spark, d, docs=_english):
+    return search.lexical_or(docs(spark, d), ["tion", "there", "house"] + TERMS, "text", "doc_id", 100)
 
 
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 LEXICAL_SQL = f"""SELECT doc_id, score FROM (SELECT doc_id, len(list_filter({WORDS}, lambda x: x IN ('tion', 'there', 'house', 'the', 'der', 'que'))) AS score FROM documents WHERE lang = 'en') WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 100"""
 
 
-def lexical_and_phrase(spark, d):
-    return search.lexical_phrase(_english(spark, d), ["the", "and"], ["of", "the"], "text", "doc_id", 100)
+def lexical_or_topk_all(spark, d):
+    return lexical_or_topk(spark, d, _documents)
+
+
+def lexical_and_phrase(spark, d, docs=_english):
+    return search.lexical_phrase(docs(spark, d), ["the", "and"], ["of", "the"], "text", "doc_id", 100)
 
 
 PHRASE_SQL = f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, w, (SELECT count(*) FROM range(1, len(w)) r(i) WHERE w[i] = 'of' AND w[i + 1] = 'the') AS score FROM t)
 SELECT doc_id, score FROM n WHERE score > 0 AND list_contains(w, 'the') AND list_contains(w, 'and') ORDER BY score DESC, doc_id LIMIT 100"""
 
 
+def lexical_and_phrase_all(spark, d):
+    return lexical_and_phrase(spark, d, _documents)
+
+
 def _query_vector(spark, d):
     return table(spark, d, "embeddings").filter("vec_id = 7").select(F.col("embedding").alias("q"))
 
@@ -115,9 +132,9 @@ def token_overlap(spark, d):
 OVERLAP_SQL = f"""SELECT doc_id, overlap FROM (SELECT doc_id, round(len(list_filter(['the', 'der', 'que'], lambda x: list_contains({WORDS}, x))) / 3.0, 6) AS overlap FROM documents) WHERE overlap > 0"""
 
 
-def rank_fusion(spark, d):
+def rank_fusion(spark, d, docs=_english):
     """Candidates of two retrievers merged by id, scored in integer micro-units: retriever priority, length tier, match and recency."""
-    lex = lexical_or_topk(spark, d).select(F.col("doc_id").alias("id"), F.col("score").cast("double").alias("m"), F.lit(1).alias("priority"))
+    lex = lexical_or_topk(spark, d, docs).select(F.col("doc_id").alias("id"), F.col("score").cast("double").alias("m"), F.lit(1).alias("priority"))
     lex = lex.withColumn("m", F.col("m") / F.max("m").over(Window.partitionBy(F.lit(1))))  # at most 100 rows
     vec = vector_topk(spark, d).select(F.col("vec_id").alias("id"), (F.col("score") * 0.8).alias("m"), F.lit(2).alias("priority")).filter("m >= 0.24")
     merged = lex.unionByName(vec).groupBy("id").agg(F.max("m").alias("m"), F.max("priority").alias("priority"), F.count("*").alias("n"))
@@ -135,8 +152,12 @@ g AS (SELECT id, max(m) AS m, max(priority) AS priority, count(*) AS n, dense_ra
 SELECT id, CAST(round_even((100 * priority + 4 * n + 40 * round(m, 6) + 3 * (CASE WHEN (SELECT max(r) FROM g) = 1 THEN 1.0 ELSE (r - 1) / ((SELECT max(r) FROM g) - 1) END)) * 1000, 0) AS BIGINT) AS score FROM g"""
 
 
-def budget_page(spark, d):
-    ranked = _english(spark, d).orderBy(F.octet_length("text"), "doc_id").limit(500)
+def rank_fusion_all(spark, d):
+    return rank_fusion(spark, d, _documents)
+
+
+def budget_page(spark, d, docs=_english):
+    ranked = docs(spark, d).orderBy(F.octet_length("text"), "doc_id").limit(500)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.octet_length("text"), "doc_id")).cast("long"))
     return search.budget_page(ranked, "rank", "text", 20_000, 200).select("doc_id", "rank", "bytes", "total")
 
@@ -145,6 +166,10 @@ PAGE_SQL = """WITH r AS (SELECT doc_id, strlen(text) AS bytes, row_number() OVER
 SELECT * FROM (SELECT doc_id, rank, bytes, CAST(sum(bytes) OVER (ORDER BY rank) + rank - 1 + 2 AS BIGINT) AS total FROM r) WHERE total <= 20000 AND rank <= 200"""
 
 
+def budget_page_all(spark, d):
+    return budget_page(spark, d, _documents)
+
+
 def page_structure(spark, d):
     """Links and headings of every page, as a table function made of built-in functions."""
     p = table(spark, d, "pages").filter("html is not null").select("page_id", "html")
@@ -163,9 +188,10 @@ def stream_fold_equivalence(spark, d):
     return fold_stream(ledger(spark, d), f"{root}/stream-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (graph_neighborhood, graph_callers, graph_callees, graph_paths, graph_dependencies, lexical_or_topk, lexical_and_phrase, vector_topk, vector_topk_scoped, token_overlap, rank_fusion, budget_page, page_structure, stream_fold_equivalence)}
+QUERIES = {f.__name__: f for f in (graph_neighborhood, graph_callers, graph_callees, graph_paths, graph_dependencies, lexical_or_topk, lexical_and_phrase, vector_topk, vector_topk_scoped, token_overlap, rank_fusion, budget_page, page_structure, stream_fold_equivalence, lexical_or_topk_all, lexical_and_phrase_all, rank_fusion_all, budget_page_all)}
 ORACLE_SQL = {
     "graph_neighborhood": _walk_sql("SELECT src, dst FROM tr UNION SELECT dst, src FROM tr", 3, 4), "graph_callees": _walk_sql("SELECT src, dst FROM tr", 3, 3), "graph_callers": _walk_sql("SELECT dst AS src, src AS dst FROM tr", 20, 3),
     "graph_paths": PATHS_SQL, "graph_dependencies": DEPENDENCIES_SQL, "lexical_or_topk": LEXICAL_SQL, "lexical_and_phrase": PHRASE_SQL, "vector_topk": _vector_sql("", 50), "vector_topk_scoped": _vector_sql("WHERE label = 3", 20),
     "token_overlap": OVERLAP_SQL, "rank_fusion": FUSION_SQL, "budget_page": PAGE_SQL, "page_structure": STRUCTURE_SQL, "stream_fold_equivalence": SESSION_SQL,
+    "lexical_or_topk_all": _whole(LEXICAL_SQL), "lexical_and_phrase_all": _whole(PHRASE_SQL), "rank_fusion_all": _whole(FUSION_SQL), "budget_page_all": _whole(PAGE_SQL),
 }
