@@ -32,7 +32,7 @@ def neighbourhood(edges: DataFrame, anchors: DataFrame, depth: int, directed: bo
 def simple_paths(edges: DataFrame, source, target, hops: int) -> DataFrame:
     """Directed paths of at most ``hops`` edges from source to target without repeated nodes: path (ids joined by '>'), length."""
     links = cut_lineage(edges.select("src", "dst").distinct())
-    walk = links.filter(F.col("src") == source).select(F.array("src", "dst").alias("nodes"))
+    walk = links.filter((F.col("src") == source) & (F.col("dst") != source)).select(F.array("src", "dst").alias("nodes"))
     found = walk
     for _ in range(hops - 1):
         ahead = walk.filter(F.element_at("nodes", -1) != target)

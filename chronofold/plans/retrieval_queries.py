@@ -15,35 +15,43 @@ from chronofold.streaming.fold import fold_stream
 TERMS = ["the", "der", "que"]
 
 
-def _trade(spark, d):
-    """Directed nation edges: a supplier's nation sells to a customer's of a greater key, at most six away, over all order lines."""
+def _trade_all(spark, d):
+    """Directed nation edges: a supplier's nation sells to a customer's, over all order lines; loops and cycles occur."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     o, c, s = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "supplier")
     return (
         line.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).filter("c_nationkey > s_nationkey and c_nationkey - s_nationkey <= 6")
+        .join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).distinct()
     )
 
 
+def _trade(spark, d):
+    """Those edges that lead to a greater key, at most six away: without cycles."""
+    return _trade_all(spark, d).filter("dst > src and dst - src <= 6")
+
+
 TRADE = """tr AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey > s_nationkey AND c_nationkey - s_nationkey <= 6)"""
 
 
+TRADE_ALL = TRADE.replace("\n  WHERE c_nationkey > s_nationkey AND c_nationkey - s_nationkey <= 6", "")
+
+
 def _anchor(spark, ident):
     return spark.createDataFrame([(ident,)], "id long")
 
 
-def graph_neighborhood(spark, d):
-    return graph.neighbourhood(_trade(spark, d), _anchor(spark, 3), 4)
+def graph_neighborhood(spark, d, trade=_trade):
+    return graph.neighbourhood(trade(spark, d), _anchor(spark, 3), 4)
 
 
-def graph_callees(spark, d):
-    return graph.neighbourhood(_trade(spark, d), _anchor(spark, 3), 3, directed=True)
+def graph_callees(spark, d, trade=_trade):
+    return graph.neighbourhood(trade(spark, d), _anchor(spark, 3), 3, directed=True)
 
 
-def graph_callers(spark, d):
-    edges = _trade(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+def graph_callers(spark, d, trade=_trade):
+    edges = trade(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.neighbourhood(edges, _anchor(spark, 20), 3, directed=True)
 
 
@@ -52,8 +60,24 @@ def _walk_sql(links, start, depth):
 SELECT id, min(distance) AS distance FROM w GROUP BY id"""
 
 
-def graph_paths(spark, d):
-    return graph.simple_paths(_trade(spark, d), 3, 20, 4)
+def graph_paths(spark, d, trade=_trade):
+    return graph.simple_paths(trade(spark, d), 3, 20, 4)
+
+
+def graph_neighborhood_all(spark, d):
+    return graph_neighborhood(spark, d, _trade_all)
+
+
+def graph_callees_all(spark, d):
+    return graph_callees(spark, d, _trade_all)
+
+
+def graph_callers_all(spark, d):
+    return graph_callers(spark, d, _trade_all)
+
+
+def graph_paths_all(spark, d):
+    return graph_paths(spark, d, _trade_all)
 
 
 PATHS_SQL = f"""WITH RECURSIVE {TRADE}, w AS (SELECT [src, dst] AS nodes, dst AS tail FROM tr WHERE src = 3 UNION ALL SELECT list_append(nodes, tr.dst), tr.dst FROM w JOIN tr ON tr.src = w.tail WHERE w.tail <> 20 AND len(nodes) <= 4 AND NOT list_contains(nodes, tr.dst))
@@ -188,10 +212,12 @@ def stream_fold_equivalence(spark, d):
     return fold_stream(ledger(spark, d), f"{root}/stream-{uuid.uuid4().hex}")
 
 
-QUERIES = {f.__name__: f for f in (graph_neighborhood, graph_callers, graph_callees, graph_paths, graph_dependencies, lexical_or_topk, lexical_and_phrase, vector_topk, vector_topk_scoped, token_overlap, rank_fusion, budget_page, page_structure, stream_fold_equivalence, lexical_or_topk_all, lexical_and_phrase_all, rank_fusion_all, budget_page_all)}
+QUERIES = {f.__name__: f for f in (graph_neighborhood, graph_callers, graph_callees, graph_paths, graph_dependencies, lexical_or_topk, lexical_and_phrase, vector_topk, vector_topk_scoped, token_overlap, rank_fusion, budget_page, page_structure, stream_fold_equivalence, lexical_or_topk_all, lexical_and_phrase_all, rank_fusion_all, budget_page_all, graph_neighborhood_all, graph_callers_all, graph_callees_all, graph_paths_all)}
 ORACLE_SQL = {
     "graph_neighborhood": _walk_sql("SELECT src, dst FROM tr UNION SELECT dst, src FROM tr", 3, 4), "graph_callees": _walk_sql("SELECT src, dst FROM tr", 3, 3), "graph_callers": _walk_sql("SELECT dst AS src, src AS dst FROM tr", 20, 3),
     "graph_paths": PATHS_SQL, "graph_dependencies": DEPENDENCIES_SQL, "lexical_or_topk": LEXICAL_SQL, "lexical_and_phrase": PHRASE_SQL, "vector_topk": _vector_sql("", 50), "vector_topk_scoped": _vector_sql("WHERE label = 3", 20),
     "token_overlap": OVERLAP_SQL, "rank_fusion": FUSION_SQL, "budget_page": PAGE_SQL, "page_structure": STRUCTURE_SQL, "stream_fold_equivalence": SESSION_SQL,
     "lexical_or_topk_all": _whole(LEXICAL_SQL), "lexical_and_phrase_all": _whole(PHRASE_SQL), "rank_fusion_all": _whole(FUSION_SQL), "budget_page_all": _whole(PAGE_SQL),
+    "graph_paths_all": PATHS_SQL.replace(TRADE, TRADE_ALL).replace("WHERE src = 3 UNION", "WHERE src = 3 AND dst <> 3 UNION"),
 }
+ORACLE_SQL |= {f"{n}_all": ORACLE_SQL[n].replace(TRADE, TRADE_ALL) for n in ("graph_neighborhood", "graph_callers", "graph_callees")}
