@@ -17,7 +17,9 @@ BLOCK = frozenset(
     "blockquote pre form fieldset legend figure figcaption address details summary hgroup center dialog menu search".split()
 )
 SKIPPED = frozenset("script style noscript template iframe textarea title xmp noembed noframes select option button svg math canvas object head datalist".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes select button svg math canvas object datalist".split())
+#: Raw text, to the end tag or else the end of the page; of the others a balanced subtree is skipped, or else only the tag.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+SUBTREES = frozenset("noscript template select button svg math canvas object datalist".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"),
@@ -35,12 +37,32 @@ class Node:
         self.tag, self.parent, self.depth, self.names, self.text, self.links, self.label = tag, parent, depth, names, text, links, label
 
 
+def _subtree_ends(source: str) -> dict[int, int]:
+    """Where each balanced element of SUBTREES ends, by the place of its start tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while match := TOKEN.search(source, at):
+        at, name = match.end(), (match[2] or "").lower()
+        if match[1] == "/":
+            if opened.get(name):
+                ends[opened[name].pop()] = at
+        elif not (match[3] or "").endswith("/"):
+            if name in RAW:
+                end = RAW_END[name].search(source, at)
+                at = end.end() if end else len(source)
+            elif name in SUBTREES:
+                opened.setdefault(name, []).append(match.start())
+    return ends
+
+
 def parse(source: str) -> list[Node]:
     """Nodes in page order, parents first; node 0 is the root."""
     nodes = [Node("root", -1, 0)]
     stack = [0]
     parts: list[str] = []
     linked, in_link, at, size = 0, 0, 0, len(source)
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -86,6 +108,12 @@ def parse(source: str) -> list[Node]:
                 end = RAW_END[name].search(source, at)
                 at = end.end() if end else size
                 parts.append(" ")
+        elif name in SUBTREES:
+            if not closing and not match[3].endswith("/"):
+                if ends is None:
+                    ends = _subtree_ends(source)
+                at = ends.get(match.start(), at)
+                parts.append(" ")
         elif name == "a":
             in_link = 0 if closing else 1
         elif name in ("br", "wbr", "hr"):
