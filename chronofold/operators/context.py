@@ -198,12 +198,12 @@ def symbol_context(world: World, name: str) -> DataFrame:
     ])
 
 
-def decision_history(world: World, query: str, steps: int = 8) -> DataFrame:
-    """Decisions that match, or all if none does, closed over supersession both ways (up to ``steps`` links); active ones first."""
+def decision_history(world: World, query: str) -> DataFrame:
+    """Decisions that match, or all if none does, closed over supersession both ways until none is new; active ones first."""
     matched = _with_hits(world.decisions, overlap(query_tokens(query), decision_words()), normal_hits(world.hits))
     named = matched.filter("match > 0").select("id")
     links = world.decisions.select(F.col("id").alias("src"), F.explode(F.array("supersedes_id", "superseded_by")).alias("dst")).filter("dst is not null")
-    chosen = graph.neighbourhood(links, named, steps).select("id") if named.limit(1).count() else matched.select("id")
+    chosen = graph.closure(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), named) if named.limit(1).count() else matched.select("id")
     return _all([decision_items(matched.join(chosen.distinct(), "id", "left_semi"), priority=F.when(F.col("standing") == "active", 1).otherwise(0), match=F.col("match"))])
 
 

@@ -50,3 +50,33 @@ def chain(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         walk = walk.select("start", F.col("next_id").alias("id"), F.lit(level).cast("long").alias("step"), F.array_append("seen", F.col("next_id")).alias("seen"))
         out = out.unionByName(walk)
     return out.select("start", "id", "step")
+
+
+def closure(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Every id that directed edges reach from the anchors (column id), with them: levels until no new id comes."""
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    seen = frontier = cut_lineage(anchors.select("id").distinct())
+    while not frontier.isEmpty():
+        step = frontier.join(links, frontier.id == links.src).select(F.col("dst").alias("id")).distinct()
+        frontier = cut_lineage(step.join(seen, "id", "left_anti"))
+        seen = cut_lineage(seen.unionByName(frontier))
+    return seen
+
+
+def chain_both(links: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
+    """Both ways along successors (id -> next_id), cycle-safe: start, id, step (below 0 against the links), truncated.
+
+    Levels run until none is new, ``depth`` at most a way; a start with a level beyond is marked as truncated.
+    """
+    ahead = cut_lineage(links.filter("next_id is not null").select(F.col("id").alias("at"), F.col("next_id").alias("to")).distinct())
+    seen = own = cut_lineage(start.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("step")).distinct())
+    for sign, hop in ((1, ahead), (-1, ahead.select(F.col("to").alias("at"), F.col("at").alias("to")))):
+        frontier = own
+        for level in range(1, depth + 2):
+            step = frontier.join(hop, F.col("id") == F.col("at")).select("start", F.col("to").alias("id")).distinct()
+            frontier = cut_lineage(step.join(seen, ["start", "id"], "left_anti").withColumn("step", F.lit(sign * level).cast("long")))
+            if frontier.isEmpty():
+                break
+            seen = cut_lineage(seen.unionByName(frontier))
+    over = seen.groupBy("start").agg((F.max(F.abs("step")) > depth).alias("truncated"))
+    return seen.filter(F.abs("step") <= depth).join(over, "start").select("start", "id", "step", "truncated")

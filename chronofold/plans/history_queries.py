@@ -57,6 +57,21 @@ DECISION_CHAIN_SQL = f"""WITH RECURSIVE {VERSIONS}, walk AS (SELECT decision_id
   WHERE n.supersedes_id IS NOT NULL AND NOT list_contains(w.seen, n.supersedes_id) AND w.step < 6) SELECT start, id, step FROM walk"""
 
 
+def decision_chain_both(spark, d):
+    """Supersession from every decision both ways, fifty links deep: earlier decisions have steps above 0, later ones below."""
+    links = _decisions(spark, d).select(F.col("decision_id").alias("id"), F.col("supersedes_id").alias("next_id"))
+    return graph.chain_both(links, links.select("id"))
+
+
+DECISION_CHAIN_BOTH_SQL = f"""WITH RECURSIVE {VERSIONS}, walk AS (SELECT decision_id AS start, decision_id AS id, CAST(0 AS BIGINT) AS step, [decision_id] AS seen FROM newest
+  UNION ALL SELECT w.start, n.supersedes_id, w.step + 1, list_append(w.seen, n.supersedes_id) FROM walk w JOIN newest n ON n.decision_id = w.id
+  WHERE n.supersedes_id IS NOT NULL AND NOT list_contains(w.seen, n.supersedes_id) AND w.step < 51),
+back AS (SELECT start, start AS id, CAST(0 AS BIGINT) AS step, max_by(seen, step) AS seen FROM walk GROUP BY start
+  UNION ALL SELECT b.start, n.decision_id, b.step - 1, list_append(b.seen, n.decision_id) FROM back b JOIN newest n ON n.supersedes_id = b.id WHERE NOT list_contains(b.seen, n.decision_id) AND b.step > -51),
+every AS (SELECT start, id, step FROM walk UNION ALL SELECT start, id, step FROM back WHERE step < 0)
+SELECT * FROM (SELECT start, id, step, max(abs(step)) OVER (PARTITION BY start) > 50 AS truncated FROM every) WHERE abs(step) <= 50"""
+
+
 def _fixes(spark, d):
     ev = ledger(spark, d).filter("event_type in ('error', 'purchase')").withColumn("target", F.col("user_id") % 25)
     runs = ev.withColumn("failed", F.col("event_type") == "error").withColumn("passed", F.col("event_type") == "purchase")
@@ -188,8 +203,8 @@ SELECT subject, predicate, object, id AS winner, CAST(rank AS BIGINT) AS rank, c
 QUALIFY row_number() OVER (PARTITION BY subject, predicate, object ORDER BY rank DESC, confidence DESC, id) = 1"""
 
 
-QUERIES = {f.__name__: f for f in (decisions_as_of, decision_chain, failure_fix_path, failure_status, file_intervals, entity_as_of, declared_clip, revision_window, revision_pick, run_diff, evidence_winner, evidence_winner_at_revision)}
+QUERIES = {f.__name__: f for f in (decisions_as_of, decision_chain, decision_chain_both, failure_fix_path, failure_status, file_intervals, entity_as_of, declared_clip, revision_window, revision_pick, run_diff, evidence_winner, evidence_winner_at_revision)}
 ORACLE_SQL = {
-    "decisions_as_of": DECISIONS_SQL, "decision_chain": DECISION_CHAIN_SQL, "failure_fix_path": FIX_SQL, "failure_status": STATUS_SQL, "file_intervals": INTERVALS_SQL, "entity_as_of": AS_OF_SQL,
+    "decisions_as_of": DECISIONS_SQL, "decision_chain": DECISION_CHAIN_SQL, "decision_chain_both": DECISION_CHAIN_BOTH_SQL, "failure_fix_path": FIX_SQL, "failure_status": STATUS_SQL, "file_intervals": INTERVALS_SQL, "entity_as_of": AS_OF_SQL,
     "declared_clip": CLIP_SQL, "revision_window": WINDOW_SQL, "revision_pick": PICK_SQL, "run_diff": DIFF_SQL, "evidence_winner": _winner_sql(1), "evidence_winner_at_revision": _winner_sql(0),
 }
