@@ -21,10 +21,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def scratch(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Where that is unset (single-machine tests) a folder below the warehouse is used and set.
+    Where that is unset, a folder below the warehouse is used and set on a local master; on a cluster, where it would be a folder of one node, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a shared folder for intermediate tables")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -38,14 +40,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(_nullable(df.schema)).parquet(path)
     out._written_at = path
+    _WRITTEN[path] = None
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame that ``materialise`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: The written tables of this process that are still there, by path, with the name of those that the catalog holds.
+_WRITTEN: dict[str, str | None] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that ``materialise`` or ``chunks.write`` returned, once nothing reads them any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._written_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if name := _WRITTEN.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Sweep:
+    """Deletes the tables written since it was made, but those of ``keep``: for a caller that has written its own result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.before = spark, set(_WRITTEN)
+
+    def __call__(self, *keep: DataFrame) -> None:
+        kept = {df._written_at for df in keep}
+        for path in [p for p in _WRITTEN if p not in self.before and p not in kept]:
+            _delete(self.spark, path)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -53,9 +78,15 @@ def _nullable(schema: T.StructType) -> T.StructType:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
-    """Keep Arrow batches small: texts may be long, and a batch is held whole by a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Keep Arrow batches small: texts may be long, and a batch is held whole by a Python worker.
+
+    Frames run after this call returns, so the session keeps the settings; they are only ever lowered, and smaller ones of the caller stay.
+    """
+    parse = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < parse(spark.conf.get(key)) <= parse(most):
+            spark.conf.set(key, most)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ are common in a sample of the texts come last, the commonest at the end; the sam
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronofold.llm import chunks
 from chronofold.llm.common import append_columns, bounded_batches, materialise
 from chronofold.llm.components import connected_components
-from chronofold.llm.simhash import majority, shingle_hashes, simhash_links
+from chronofold.llm.simhash import drop_all_but_best, majority, shingle_hashes, simhash_links
 
 SHINGLE, SIMILARITY, EPSILON, PAIRS_AT_ONCE = 5, 0.8, 1e-9, 65536
 #: One text in so many is sampled for common shingles; a common one is held by so many sampled classes; so many are kept.
@@ -166,18 +168,21 @@ def similar_edges(held: DataFrame, classes: DataFrame, text_col: str) -> DataFra
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, one row for each component: the longest text, then the largest doc_id, then any one of repeated rows.
 
-    Texts without words (null, empty, white space) have one empty set and are alike; a null doc_id is the smallest.
+    Texts without words (null, empty, white space) have one empty set and are alike; a null doc_id is the smallest.  Columns of any name pass
+    through; an empty table gives an empty result.  As in ``simhash.keep_one`` the texts are written once and only bitmaps of their chunks are shuffled.
     """
     bounded_batches(docs.sparkSession)
-    fields = [T.StructField("near_class", T.LongType()), T.StructField("near_fp", T.LongType()), T.StructField("near_n", T.IntegerType()), T.StructField("near_prefix", T.ArrayType(T.LongType()))]
-    held = materialise(append_columns(docs, fields, _marks(*common_shingles(docs, text_col)), text_col).withColumn("near_row", F.monotonically_increasing_id()), "near-docs")
+    own = {x: f"{x}_{uuid.uuid4().hex[:8]}" for x in ("near_class", "near_fp", "near_n", "near_prefix", "near_row", "chunk")}
+    kinds = {"near_class": T.LongType(), "near_fp": T.LongType(), "near_n": T.IntegerType(), "near_prefix": T.ArrayType(T.LongType())}
+    marked = append_columns(docs, [T.StructField(own[k], t) for k, t in kinds.items()], _marks(*common_shingles(docs, text_col)), text_col)
+    marked = marked.withColumn(own["near_row"], F.monotonically_increasing_id())
+    written = chunks.write(marked.withColumn(own["chunk"], F.shiftright(own["near_row"], chunks.CHUNK_BITS)), own["chunk"], "near-docs")
+    held = written.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(own[k]).alias(k) for k in [*kinds, "near_row"]])
     narrow = held.select(
-        F.col("near_class").alias("cls"), F.col("near_fp").alias("fp"), F.col("near_n").alias("size"), F.col("near_row").alias("row"),
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).alias("n"),
+        F.col("near_class").alias("cls"), F.col("near_fp").alias("fp"), F.col("near_row").alias("row"), "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"),
     )
     # a class has one set, but repeats may tip a bit of its SimHash: any of them will do
     classes = materialise(narrow.groupBy("cls").agg(F.min("fp").alias("fp"), F.max("row").alias("first_row")), "near-classes")
-    roots = connected_components(similar_edges(held, classes, text_col))
+    roots = connected_components(similar_edges(held, classes, "text"))
     labelled = materialise(classes.join(roots, classes.cls == roots.node, "left").select("cls", F.coalesce("root", "cls").alias("root")), "near-labels")
-    winners = narrow.join(labelled, "cls").groupBy("root").agg(F.max(F.struct("n", "doc_id", "row")).alias("w")).select(F.col("w.row").alias("winner"))
-    return held.join(winners, held.near_row == winners.winner, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drop_all_but_best(written, narrow.join(labelled, "cls").select("root", "n", "doc_id", "row"), own["near_row"], own["chunk"], docs.columns)

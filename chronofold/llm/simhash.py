@@ -15,6 +15,7 @@ two bits of it differ in at most three, and every pair at distance three or less
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.common import append_columns, bounded_batches, materialise
+from chronofold.llm import chunks
+from chronofold.llm.common import Sweep, append_columns, bounded_batches, materialise
 from chronofold.llm.components import connected_components
 
 SHINGLE, MAX_DISTANCE, SEGMENTS, SEED, BUCKET_LIMIT = 3, 3, 4, 42, 4096
@@ -202,13 +204,16 @@ def simhash_links(fps: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame
 
 def fingerprint_classes(rows: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(fp, root, component_id) for every distinct fp of ``rows`` (doc_id, fp): written, so that joins on fp can split hot ones."""
+    sweep = Sweep(rows.sparkSession)
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = connected_components(simhash_links(distinct, bucket_limit))
     labelled = materialise(
         distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-roots"
     )
     smallest = materialise(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
-    return materialise(labelled.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
+    classes = materialise(labelled.join(smallest, "root").select("fp", "root", "component_id"), "simhash-classes")
+    sweep(classes)
+    return classes
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -229,17 +234,29 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """The columns of ``docs``, one row for each component: the longest text, then the largest doc_id, then any one of repeated rows.
 
-    Nulls as in ``simhash_dedup``; a null doc_id is the smallest.
+    Nulls as in ``simhash_dedup``; a null doc_id is the smallest.  Columns of any name pass through.  An empty table gives an empty result.
+    The texts are written once and not shuffled: the rows to go are bitmaps of their chunks (``chunks``).
     """
     bounded_batches(docs.sparkSession)
 
     def compute():
         return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist()]
 
-    marked = append_columns(docs, [T.StructField("simhash_fp", T.LongType())], compute, text_col)
-    held = materialise(marked.withColumn("simhash_row", F.monotonically_increasing_id()), "simhash-docs")
-    narrow = held.select(F.col(id_col).cast("long").alias("doc_id"), F.col("simhash_fp").alias("fp"), F.col("simhash_row").alias("row"), F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).alias("n"))
-    classes = fingerprint_classes(narrow, bucket_limit).select("fp", "root")
-    winners = narrow.join(classes, "fp").groupBy("root").agg(F.max(F.struct("n", "doc_id", "row")).alias("w")).select(F.col("w.row").alias("winner"))
-    kept = held.join(winners, held.simhash_row == winners.winner, "left_semi")
-    return kept.drop("simhash_fp", "simhash_row")
+    fp, number, chunk = (f"{x}_{uuid.uuid4().hex[:8]}" for x in ("fp", "number", "chunk"))
+    marked = append_columns(docs, [T.StructField(fp, T.LongType())], compute, text_col).withColumn(number, F.monotonically_increasing_id())
+    held = chunks.write(marked.withColumn(chunk, F.shiftright(number, chunks.CHUNK_BITS)), chunk, "simhash-docs")
+    narrow = held.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(number).alias("row"), F.coalesce(F.char_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).alias("n"),
+    )
+    classes = fingerprint_classes(narrow.select("doc_id", "fp"), bucket_limit).select("fp", "root")
+    return drop_all_but_best(held, narrow.join(classes, "fp").select("root", "n", "doc_id", "row"), number, chunk, docs.columns)
+
+
+def drop_all_but_best(held: DataFrame, labelled: DataFrame, number: str, chunk: str, columns: list[str]) -> DataFrame:
+    """Of each root's rows (root, n, doc_id, row) the greatest (n, doc_id, row) stays in ``held``, a table of ``chunks.write`` numbered by ``number``."""
+    labelled = materialise(labelled, "labelled-rows")
+    best = labelled.groupBy("root").agg(F.max(F.struct("n", "doc_id", "row")).alias("w"), F.count("*").alias("rows")).filter("rows > 1")
+    losers = labelled.join(best.select("root", F.col("w.row").alias("winner")), "root").filter("row <> winner")
+    gone = chunks.bitmaps(losers.select(F.shiftright("row", chunks.CHUNK_BITS).alias("chunk"), F.pmod("row", F.lit(chunks.CHUNK)).alias("at")))
+    told, words = chunks.with_words(held, chunk, materialise(gone, "dropped-rows"))
+    return told.filter(~chunks.marked(words, F.pmod(number, F.lit(chunks.CHUNK)))).select(*[F.col(f"`{c}`") for c in columns])
