@@ -1,31 +1,33 @@
 """Line deduplication against a sharded minimal perfect hash.
 
 1. Each document gives the distinct 128-bit hashes of its eligible lines; they are counted with map-side combination, so a line
-   that a third of all documents hold moves as a few partial sums.
+   that a third of all documents hold moves as a few partial sums.  Documents are counted, not rows: where a doc_id repeats, the
+   pairs of key and doc_id are made distinct first, dealt by both.
 2. Keys in at least ``min_docs`` documents (others can lose no line) go to shards by hash.  Each shard becomes a
    minimal perfect hash that indexes compact arrays: a 64-bit fingerprint, a saturating count, and the
    doc_id that keeps its lines.
 3. Documents probe the arrays map-side; no line is joined.  The arrays are broadcast when their measured
    size is within ``broadcast_limit``; beyond it, each document's hashes go to the shards in salted groups of
-   bounded size (``probe_by_shard``), again as hashes, never as lines.
+   bounded size (``probe_by_shard``), again as hashes, never as lines.  What they find comes back as bitmaps over the line numbers of a chunk of the
+   written documents (``chunks``), so no text is shuffled.
 
 Keys are equal when their 128-bit hashes are: 64 bits place a key, the other 64 are its fingerprint.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronofold.llm.common import append_columns, bounded_batches, materialise, without
+from chronofold.llm import chunks
+from chronofold.llm.common import bounded_batches, discard, materialise, without
 from chronofold.llm.mphash import MinimalPerfectHash
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -74,7 +76,7 @@ def _build_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     fingerprint, count, keeper = np.zeros(len(lo), np.uint64), np.zeros(len(lo), np.uint8), np.zeros(len(lo), np.int64)
     fingerprint[at], count[at], keeper[at] = hi, np.minimum(table["n"].to_numpy(), SATURATED), table["keeper"].to_numpy()
     blob = mph.dump(fingerprint=fingerprint, count=count, keeper=keeper)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "probes": pa.array([int(table["n"].to_numpy().sum())], pa.int64()), "blob": pa.array([blob], pa.binary())})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "probes": pa.array([int(table["rows"].to_numpy().sum())], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
 
 class LineIndex:
@@ -106,14 +108,18 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min
     """The shards (shard, probes, blob) as a written table, and their number."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = source.mapInArrow(_emit_keys(min_chars), "lo long, hi long, doc_id long")
+    repeated = not source.groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty()
+    held_by = F.count_distinct("doc_id") if repeated else F.count("*")
     counted = materialise(
-        keys.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs), "line-counts"
+        keys.groupBy("lo", "hi").agg(held_by.alias("n"), F.count("*").alias("rows"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs), "line-counts"
     )
     shards = max(1, -(-counted.count() // shard_keys))
     # lo as unsigned, modulo the shards, so that documents can compute it in NumPy
     shard = (F.expr(f"pmod(cast(shiftrightunsigned(lo, 1) as decimal(20,0)) * 2 + (lo & 1), {shards})")).cast("long")
     built = counted.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, "shard long, probes long, blob binary")
-    return materialise(built, "line-index"), shards
+    index = materialise(built, "line-index")
+    discard(counted)
+    return index, shards
 
 
 def _ids(values: list) -> np.ndarray:
@@ -161,60 +167,77 @@ def probe_broadcast(docs: DataFrame, index: DataFrame, shards: int, id_col: str,
     return source.mapInArrow(run, schema).toDF(*base.columns, *[f.name for f in RESULT])
 
 
+def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each row its chunk and the number of its first line there; a chunk ends with the row that fills it."""
+    part, chunk, at = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        chunks_out, starts = [], []
+        for text in batch.column(batch.num_columns - 1).to_pylist():
+            n = 1 + (text or "").count("\n")
+            if at and at + n > chunks.CHUNK:
+                chunk, at = chunk + 1, 0
+            chunks_out.append(part | chunk)
+            starts.append(at)
+            at += n
+        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(chunks_out, pa.int64()), pa.array(starts, pa.int64())], names=[f"c{i}" for i in range(len(columns))] + ["chunk", "start"])
+
+
 def probe_by_shard(docs: DataFrame, index: DataFrame, shards: int, id_col: str, text_col: str, min_chars: int, min_docs: int, probes: int = PROBES) -> DataFrame:
     """The same result for an index of any size: hashes go to (shard, salt) groups of about ``probes`` rows.
 
     The number of salts of a shard follows from the counts in its array, so a line held by a third of all documents is dealt
     over as many groups as its shard needs.
     """
-    row = f"row_{uuid.uuid4().hex[:8]}"
-    held = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    columns = [*docs.columns]
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text_col}`").cast("string").alias("t"))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)] + [T.StructField("chunk", T.LongType()), T.StructField("start", T.LongType())])
+    held = chunks.write(numbered.mapInArrow(_number_lines, schema), "chunk", "line-docs")
+    place = {c.lower(): f"c{i}" for i, c in enumerate(columns)}
+    ident, text = F.col(place[id_col.lower()]).cast("long"), F.col(place[text_col.lower()]).cast("string")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids, at, los, his = [], [], [], [], []
-            for r, d, t in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            chunk, ids, at, los, his = [], [], [], [], []
+            for c, start, d, t in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 _, where, keys = line_keys(t or "", min_chars)
-                rows += [r] * len(where)
+                chunk += [c] * len(where)
                 ids += [NO_ID if d is None else d] * len(where)
-                at += where
+                at += [start + x for x in where]
                 los += [k[0] for k in keys]
                 his += [k[1] for k in keys]
             lo = np.array(los, np.uint64)
             shard = (lo % np.uint64(shards)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), _signed(lo), _signed(np.array(his, np.uint64)), pa.array(shard)], names=["row", "doc", "at", "lo", "hi", "shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), _signed(lo), _signed(np.array(his, np.uint64)), pa.array(shard)], names=["chunk", "doc", "at", "lo", "hi", "shard"])
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
-            return pa.table({"row": pa.array([], pa.int64()), "at": pa.array([], pa.int64())})
+            return pa.table({"chunk": pa.array([], pa.int64()), "at": pa.array([], pa.int64())})
         shard = right["shard"][0].as_py()
         lines = LineIndex({shard: right["blob"][0].as_py()}, shards)
         drop = lines.drops(left["lo"].to_numpy().view(np.uint64), left["hi"].to_numpy().view(np.uint64), left["doc"].to_numpy(), min_docs)
-        return pa.table({"row": left["row"].to_numpy()[drop], "at": left["at"].to_numpy()[drop]})
+        return pa.table({"chunk": left["chunk"].to_numpy()[drop], "at": left["at"].to_numpy()[drop]})
 
-    hashes = held.select(F.col(f"`{row}`").alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "row long, doc long, at long, lo long, hi long, shard long")
+    hashes = held.select("chunk", "start", ident.alias("doc"), text.alias("text")).mapInArrow(emit, "chunk long, doc long, at long, lo long, hi long, shard long")
     salts = index.select("shard", F.greatest(F.lit(1), F.ceil(F.col("probes") / probes)).cast("long").alias("salts"))
-    dealt = hashes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.col("salts")))
+    dealt = hashes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("chunk", "at"), F.col("salts")))
     copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shard", "salt", "blob")
-    gone = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "row long, at long")
-    gone = gone.groupBy("row").agg(F.collect_list("at").alias("gone")).withColumnRenamed("row", "gone_row")
-    base = without(docs, [f.name for f in RESULT])
-    pieces = F.split(F.coalesce(F.col(f"h.`{text_col}`").cast("string"), F.lit("")), "\n", -1)
-    lost = F.coalesce(F.col("g.gone"), F.array().cast("array<bigint>"))
-    return held.alias("h").join(gone.alias("g"), F.col(f"h.{row}") == F.col("g.gone_row"), "left").select(
-        *[F.col(f"h.`{c}`") for c in base.columns],
-        F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(lost, i.cast("long"))), "\n").alias("kept_text"),
-        F.size(pieces).cast("long").alias("n_lines"),
-        F.size(lost).cast("long").alias("n_dropped"),
-    )
+    gone = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(probe, "chunk long, at long")
+    marked, words = chunks.with_words(held, "chunk", materialise(chunks.bitmaps(gone), "dropped-lines"))
+    pieces = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    kept = F.filter(pieces, lambda x, i: ~chunks.marked(words, F.col("start") + i.cast("long")))
+    names = {f.name for f in RESULT}
+    base = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in names]
+    out = marked.select(*base, kept.alias("own_kept"), F.size(pieces).cast("long").alias("n_lines"))
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c not in ("own_kept", "n_lines")], F.array_join("own_kept", "\n").alias("kept_text"), "n_lines", (F.col("n_lines") - F.size("own_kept")).alias("n_dropped"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """All columns of ``docs`` plus kept_text, n_lines (before dropping) and n_dropped.
 
-    Lines split at ``\\n``; null or empty text is one empty line.  A key held by at least ``min_docs`` rows loses its lines
-    everywhere but in the row with the largest doc_id holding it; repeated rows with that doc_id all keep theirs, and a null
-    doc_id is smaller than any other.  An empty table gives an empty result.
+    Lines split at ``\\n``; null or empty text is one empty line.  A key held by at least ``min_docs`` documents loses its lines
+    everywhere but in the document with the largest doc_id holding it.  Rows with one doc_id are one document: they count once and all keep
+    their lines where it is the largest; null is a doc_id of its own, smaller than any other.  An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     index, shards = build_index(docs, id_col, text_col, min_chars, min_docs, shard_keys)
