@@ -1,11 +1,11 @@
 """Binary token output: canonical length-limited Huffman coding with table-driven decoding.
 
 1. Texts are encoded once into a written table of packed ids.
-2. Global id counts are summed map-side, and the driver makes code lengths of at most 16 bits by package-merge: one number for
-   each vocabulary entry.  The codes are canonical, so the lengths are the whole codebook.
+2. Global id counts are summed map-side, and the driver makes code lengths by package-merge, of at most 16 bits or, above 65,536 used ids, one
+   more than these need: one number for each vocabulary entry.  The codes are canonical, so the lengths are the whole codebook.
 3. Documents are range-partitioned by doc_id, and each partition writes blocks of whole documents.  A block is
    self-contained: header, document table, the bit offset of every ``CHECKPOINT``-th id, and the bit stream.
-4. A reader decodes any block alone: all its checkpoints are lanes that step through a 65,536-entry table together.
+4. A reader decodes any block alone: all its checkpoints are lanes that step together through a table with an entry for each bit pattern of the longest code, 16 bits at least.
 
 Folder: ``codebook`` (one row: lengths) and ``blocks`` (part, block, start, n_tokens, payload), written by
 Spark's committed writer, with files in ascending doc_id order.  ``start`` counts ids from the part's start; ``part`` totals give the rest.
@@ -28,19 +28,26 @@ from chronofold.llm.common import bounded_batches, discard, materialise, scratch
 from chronofold.llm.tokenizing import WORD_BPE, cached_tokenizer
 
 MAX_BITS, CHECKPOINT, BLOCK_TOKENS, PART_TOKENS, END_ID = 16, 128, 1 << 19, 1 << 23, 2
+#: Parts of a store at most; beyond, a part holds more ids.  One number a part reaches the driver.
+MAX_PARTS = 1 << 16
 MAGIC = b"HTB1"
 NO_ID = -(1 << 63)
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most ``limit`` bits (package-merge); 0 for ids that never occur."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Lengths of an optimal prefix code of at most ``limit`` bits (package-merge); 0 for ids that never occur.
+
+    Without ``limit`` it is MAX_BITS, or one bit more than codes of one length for all used ids have, if that is greater.
+    """
     used = np.flatnonzero(counts)
+    if limit is None:
+        limit = max(MAX_BITS, (max(len(used), 2) - 1).bit_length() + 1)
     out = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         out[used] = 1
         return out
     if len(used) > 1 << limit:
-        raise ValueError("more ids than codes of that length")
+        raise ValueError("more ids than codes of the asked length")
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.int64)
     leaf, packages = [], np.zeros(0, np.int64)
@@ -59,6 +66,15 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     return out
 
 
+def table_bits(lengths: np.ndarray) -> int:
+    return max(MAX_BITS, int(lengths.max(initial=0)))
+
+
+def _window_bytes(bits: int) -> int:
+    """Bytes that a code of ``bits`` bits may touch, wherever in the first it starts."""
+    return (bits + 14) // 8
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     """Codes in order of (length, id)."""
     codes, code, last = np.zeros(len(lengths), np.uint32), 0, 0
@@ -72,12 +88,13 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, length) for each window of MAX_BITS bits."""
+    """(id, length) for each window of as many bits as the longest code has, MAX_BITS at least."""
+    width = table_bits(lengths)
     codes = canonical_codes(lengths)
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
-    span = 1 << (MAX_BITS - lengths[order].astype(np.int64))
-    ids, bits = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
+    span = 1 << (width - lengths[order].astype(np.int64))
+    ids, bits = np.zeros(1 << width, np.uint32), np.ones(1 << width, np.uint8)
     n = int(span.sum())
     assert not len(order) or int(codes[order[0]]) == 0
     ids[:n], bits[:n] = np.repeat(order, span), np.repeat(lengths[order], span)
@@ -89,12 +106,14 @@ def encode_block(doc_ids: list[int], sizes: list[int], ids: np.ndarray, codes: n
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     at = ends - size
-    window = codes[ids].astype(np.uint32) << (24 - size - (at & 7)).astype(np.uint32)
+    touched = _window_bytes(table_bits(lengths))
+    word = np.uint32 if touched <= 4 else np.uint64
+    window = codes[ids].astype(word) << (8 * touched - size - (at & 7)).astype(word)
     total = int(ends[-1]) if len(ends) else 0
-    n_bytes = (total + 7) // 8 + 3
+    n_bytes = (total + 7) // 8 + touched
     stream = np.zeros(n_bytes, np.float64)
-    for k in range(3):
-        stream += np.bincount((at >> 3) + k, weights=(window >> np.uint32(16 - 8 * k)) & np.uint32(255), minlength=n_bytes)
+    for k in range(touched):
+        stream += np.bincount((at >> 3) + k, weights=(window >> word(8 * (touched - 1 - k))) & word(255), minlength=n_bytes)
     head = struct.pack("<4sIQQ", MAGIC, len(doc_ids), len(ids), total)
     return b"".join([head, np.array(doc_ids, "<i8").tobytes(), np.array(sizes, "<u8").tobytes(), at[::CHECKPOINT].astype("<u8").tobytes(), stream.astype(np.uint8).tobytes()])
 
@@ -110,17 +129,21 @@ def decode_block(block: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np
     at += 16 * n_docs
     lanes = -(-n // CHECKPOINT)
     bit = np.frombuffer(block, "<u8", lanes, at).astype(np.int64)
-    raw = np.frombuffer(block, np.uint8, -1, at + 8 * lanes).astype(np.uint32)
-    window = np.zeros(len(raw), np.uint32)
-    window[: len(raw) - 2] = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
     symbol, length = table
+    width = (len(symbol) - 1).bit_length()
+    touched = _window_bytes(width)
+    word = np.uint32 if touched <= 4 else np.uint64
+    raw = np.frombuffer(block, np.uint8, -1, at + 8 * lanes).astype(word)
+    window = np.zeros(len(raw), word)
+    for k in range(touched):
+        window[: len(raw) - touched + 1] |= raw[k : len(raw) - touched + 1 + k] << word(8 * (touched - 1 - k))
     out = np.zeros((CHECKPOINT, lanes), np.uint32)
     for k in range(CHECKPOINT):
         live = lanes if k < (n - 1) % CHECKPOINT + 1 else lanes - 1  # the last lane may be shorter
         if live <= 0:
             break
         here = bit[:live]
-        code = (window[here >> 3] >> (8 - (here & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+        code = (window[here >> 3] >> (8 * touched - width - (here & 7)).astype(word)) & word((1 << width) - 1)
         out[k, :live] = symbol[code]
         bit[:live] += length[code]
     return doc_ids, sizes, out.T.reshape(-1)[:n]
@@ -196,7 +219,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str = WORD_BPE, end_id: int
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codebook")
     sent = spark.sparkContext.broadcast(lengths.tobytes())
-    parts = max(1, -(-int(counts.sum()) // part_tokens))
+    parts = min(MAX_PARTS, max(1, -(-int(counts.sum()) // part_tokens)))
     ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(_write_blocks(dtype, sent), BLOCKS).write.parquet(f"{folder}/blocks")
     discard(tokens)
@@ -205,7 +228,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str = WORD_BPE, end_id: int
 def _read(spark: SparkSession, folder: str, names: list[str], types: list[pa.DataType], schema: str, each) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     lengths = spark.read.schema("lengths binary").parquet(f"{folder}/codebook").first()["lengths"]
-    # one number for each part, a part being millions of ids
+    # one number for each part, of which there are at most MAX_PARTS
     totals = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).toLocalIterator())
     before, total = {}, 0
     for part, n in totals:
@@ -244,7 +267,11 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_round_trip(docs: DataFrame, path: str = WORD_BPE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the token files to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
+    """Write the token files to the shared folder and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    Null or empty text is ``end_id`` alone; a null doc_id comes first; rows that repeat a doc_id follow each other in any order, each with its own ids.  An
+    empty table gives an empty result.  Other columns are not read.
+    """
     folder = f"{scratch(docs.sparkSession)}/token-store-{uuid.uuid4().hex}"
     write_tokens(docs, folder, path, end_id, id_col, text_col)
     return read_digests(docs.sparkSession, folder)
