@@ -14,6 +14,7 @@ from __future__ import annotations
 import random
 import re
 from functools import cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ def features(node: Node, parent: Node | None) -> list[str]:
     return [
         "length " + str(min(8, n.bit_length())),
         "links " + str(round(node.links * 4)),
-        "ends " + str(min(2, len(ENDS.findall(node.text[-200:] if n > 200 else node.text)))),
+        "ends " + str(sum(1 for _ in islice(ENDS.finditer(node.text), 2))),
         "under " + parent.tag,
         *(["sign"] if node.text[0] in "©" else []),
     ]
@@ -270,7 +271,8 @@ def extract(pages: DataFrame, html_col: str = "html", model: ContentModel | None
     """All columns of ``pages`` plus main_text: content blocks in page order, joined by one newline.
 
     Character references are decoded, white space inside a block becomes one space, ends are trimmed; nothing else is dropped or
-    cut.  Null or empty html, and pages without content, give the empty text; repeated rows come as they are.
+    cut.  Null or empty html, and pages without content, give the empty text; repeated rows come as they are; an empty table
+    gives an empty result.
     """
     bounded_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model or trained())

@@ -16,7 +16,6 @@ BLOCK = frozenset(
     "html body main article section div nav header footer aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre form fieldset legend figure figcaption address details summary hgroup center dialog menu search".split()
 )
-SKIPPED = frozenset("script style noscript template iframe textarea title xmp noembed noframes select option button svg math canvas object head datalist".split())
 #: Raw text, to the end tag or else the end of the page; of the others a balanced subtree is skipped, or else only the tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SUBTREES = frozenset("noscript template select button svg math canvas object datalist".split())

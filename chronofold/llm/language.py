@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from chronofold.llm.common import append_columns, bounded_batches
 
 BUCKETS, SAMPLE, SMOOTHING, PENALTY, ROUNDS = 1 << 15, 3000, 0.5, 3.0, 40
-#: The model has BUCKETS floats for each language; more languages than this are refused, so its broadcast is bounded.
+#: The training sample's bound in languages: those with the most documents are learned.  The model has BUCKETS floats for each, so its broadcast is bounded.
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
 
@@ -123,21 +123,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(own[used])], names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Learn from documents with a language that are not held out: an expected ``sample`` of each language, chosen by hash of doc_id."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = MAX_LANGUAGES) -> LanguageModel:
+    """Learn from documents with a language that are not held out: an expected ``sample`` of each language, chosen by hash of doc_id.
+
+    Of more than ``languages`` label values those with the most documents are learned, ties by name, so a column of stray labels stops nothing.
+    """
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & ~held_out(F.col("id"))
     )
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
     picked = train.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)).select("lang", "text")
     counts: dict[str, np.ndarray] = {k: np.zeros(BUCKETS, np.int64) for k in sizes}
     rows = picked.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in rows.toLocalIterator():  # at most MAX_LANGUAGES x BUCKETS
+    for r in rows.toLocalIterator():  # at most ``languages`` x BUCKETS
         counts[r["lang"]][r["bucket"]] = r["n"]
     return LanguageModel.from_counts(counts)
 
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     The score is the language's share of a mixture, or its posterior against the other languages for a text of
     one.  Null, empty and letterless texts, and all texts under a model without languages, give ``und``, 0 and
-    an empty set.
+    an empty set.  Repeated rows come as they are; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
