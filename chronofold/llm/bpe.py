@@ -153,6 +153,7 @@ def bpe_round_trip(docs: DataFrame, path: str = WORD_BPE, id_col: str = "doc_id"
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (decimal ids joined by spaces), decoded_sha256.
 
     The same encoder and decoder as above; only digests leave the worker.  Null or empty text: 0 tokens and digests of nothing.
+    Repeated rows and null doc_ids come as they are; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
 

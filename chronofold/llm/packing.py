@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import bounded_batches, materialise
+from chronofold.llm.common import bounded_batches, discard, materialise
 from chronofold.llm.tokenizing import BYTE_BPE, cached_tokenizer
 
 CAPACITY, END_ID, GROUP_PIECES = 2048, 0, 100_000
@@ -147,7 +147,9 @@ def pack(pieces_of: DataFrame, capacity: int = CAPACITY, group_pieces: int = GRO
     # ids of full pieces are negative, those of packed ones positive
     full = full.withColumn("sequence_id", -1 - F.col("sequence_id"))
     rest = held.filter(F.col("length") < capacity).join(placed, keys)
-    return materialise(full.unionByName(rest), "packed")
+    out = materialise(full.unionByName(rest), "packed")
+    discard(held)
+    return out
 
 
 def pack_documents(docs: DataFrame, path: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_pieces: int = GROUP_PIECES) -> DataFrame:

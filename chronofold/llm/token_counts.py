@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, path: str = PIECE_BPE, id_col: str = "doc_id",
                 out.update(zip(words.split(" "), np.frombuffer(lengths, "<u2").tolist(), strict=True))
             return out
 
-        lengths = held(("pieces", path), make)
+        lengths = held(("pieces", path), make, hash(table.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = np.array([sum(map(lengths.__getitem__, units(t))) for t in texts], np.int64)

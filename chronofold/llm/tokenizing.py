@@ -93,14 +93,14 @@ class CachedTokenizer:
         return np.frombuffer(self.packed(text), self.dtype)
 
 
-_HELD: dict[tuple, object] = {}
+_HELD: dict[tuple, tuple[object, object]] = {}
 
 
-def held(key: tuple, make):
-    """One object per worker process and key: caches stay warm from task to task."""
-    if key not in _HELD:
-        _HELD[key] = make()
-    return _HELD[key]
+def held(key: tuple, make, version: object = None):
+    """One object per worker process and key: caches stay warm from task to task.  Another ``version`` replaces it."""
+    if key not in _HELD or _HELD[key][0] != version:
+        _HELD[key] = (version, make())
+    return _HELD[key][1]
 
 
 def cached_tokenizer(path: str) -> CachedTokenizer:
