@@ -49,7 +49,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
         spotsigs.as_string(F.col("signatures")).alias("fingerprint"), spotsigs.as_string(F.col("edited_signatures")).alias("edited_fingerprint"),
-        "near_edited", "near_next",
+        "near_edited", "near_next", "copy_edited", "copy_next",
     )
 
 

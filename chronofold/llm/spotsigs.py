@@ -29,7 +29,8 @@ ANCHORS = (
     "el los las una del y es que por con para se su al lo no como más"
 ).split()
 ANCHORS = sorted(set(ANCHORS))
-ROWS_PER_BUCKET, BUCKETS_PER_GROUP = 250, 1000
+#: Buckets of ``in_next_order``: so many rows in one, at most so many.
+ROWS_PER_BUCKET, MOST_BUCKETS = 250, 1 << 16
 
 
 def _words(text: Column) -> Column:
@@ -64,6 +65,11 @@ def add_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, ancho
     return df.drop(words, anchor, content)
 
 
+def length_band(n: Column, threshold: float) -> Column:
+    """The partition of set length: lengths that can reach ``threshold`` lie in one or in two neighbours.  Empty sets are below all others."""
+    return F.when(n == 0, F.lit(-2)).otherwise(F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold))).cast("int"))
+
+
 def as_string(signatures: Column) -> Column:
     """Eight hexadecimal digits for each signature, in order."""
     return F.array_join(F.transform(signatures, lambda s: F.right(F.concat(F.lit("0000000"), F.lower(F.hex(s))), F.lit(8))), "")
@@ -79,35 +85,46 @@ def jaccard(a: Column, b: Column, threshold: float = 0.0) -> Column:
     return F.when(large == 0, F.lit(1.0)).when(small < threshold * large, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _bucket(low: int, width: int) -> Column:
-    return F.floor((F.col("place") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+def _constants(values: list, kind: str) -> Column:
+    """A constant array from one literal, so that its length costs no expression."""
+    return F.filter(F.split(F.lit(",".join(map(str, values))), ","), lambda x: x != "").cast(kind)
+
+
+def _bucket(cuts: list) -> Column:
+    """How many of the rising ``cuts`` are below ``place``: a binary search, one step a bit of their number."""
+    ends = _constants(cuts, "array<decimal(20,0)>")
+    steps = _constants([1 << k for k in reversed(range(len(cuts).bit_length()))], "array<int>")
+    place = F.col("place")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ends, at + step - 1) < place, at + step).otherwise(at))
 
 
-def in_next_order(docs: DataFrame, id_col: str, text_col: str, per_bucket: int = ROWS_PER_BUCKET, per_group: int = BUCKETS_PER_GROUP) -> DataFrame:
-    """doc_id, text, bucket, place and halo: documents dealt to ranges of doc_id of ``per_bucket`` rows on average.
+def in_next_order(docs: DataFrame, id_col: str, text_col: str, per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS) -> DataFrame:
+    """doc_id, text, bucket, place and halo: documents dealt to ranges of doc_id, cut at approximate quantiles.
 
-    The largest document of each bucket also goes, as halo, to the bucket above, whose smallest document it follows in
-    descending order; the largest of all goes to the lowest bucket.  So every document and its next one are in one
-    bucket, each text moves once, and nothing is sorted globally: bucket tops are ordered inside groups of ``per_group``, and groups
-    (one row for ``per_bucket * per_group`` documents) in one window.
+    A bucket has ``per_bucket`` rows on average, or more where that would give more than ``most`` buckets.  The largest document of each bucket also goes,
+    as halo, to the bucket above, whose smallest document it follows in descending order; the largest of all goes to the lowest bucket.  So every
+    document and its next one are in one bucket, each text moves once, and nothing is sorted globally: only the cuts, at most ``most``
+    numbers, reach the driver, and only the buckets' tops are put in order.  Rows that repeat a doc_id are in one bucket.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    low, high, n = source.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low - 1, high)  # the place of a null doc_id is below all others
-    width = max(1, math.ceil((high - low + 1) / max(n, 1) * per_bucket))
-    placed = source.withColumn("place", F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(low).cast("decimal(20,0)"))).withColumn("bucket", _bucket(low, width))
-    tops = materialise(placed.groupBy("bucket").agg(F.max("place").alias("place")), "spot-tops").withColumn("group", F.floor(F.col("bucket") / per_group))
-    lowest = tops.agg(F.min("bucket")).first()[0] or 0
-    above = F.lead("bucket").over(Window.partitionBy("group").orderBy("bucket"))
-    groups = tops.groupBy("group").agg(F.min("bucket").alias("first"))
-    groups = groups.select("group", F.lead("first").over(Window.orderBy("group")).alias("above_group"))
-    halo = tops.withColumn("above", above).join(groups, "group").select("place", F.coalesce("above", "above_group", F.lit(lowest)).alias("to"))
+    low, n = source.agg(F.min("doc_id"), F.count("*")).first()
+    low = 0 if low is None else low - 1  # the place of a null doc_id is below all others
+    placed = source.withColumn("place", F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(low).cast("decimal(20,0)")))
+    buckets = min(most, -(-n // per_bucket))
+    cuts = []
+    if buckets > 1:
+        shares = F.split(F.lit(",".join(str(k / buckets) for k in range(1, buckets))), ",").cast("array<double>")
+        cuts = sorted(set(placed.agg(F.percentile_approx("place", shares, max(10_000, 4 * buckets))).first()[0]))
+    placed = placed.withColumn("bucket", _bucket(cuts))
+    tops = materialise(placed.groupBy("bucket").agg(F.max("place").alias("place")), "spot-tops")  # a row for each bucket
+    in_order = Window.orderBy("bucket")
+    halo = tops.select("place", F.coalesce(F.lead("bucket").over(in_order), F.first("bucket").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
     extra = placed.join(materialise(halo, "spot-halo"), "place").select("doc_id", "text", "place", F.col("to").alias("bucket"), F.lit(True).alias("halo"))
     return placed.select("doc_id", "text", "place", "bucket", F.lit(False).alias("halo")).unionByName(extra)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, signatures, fingerprint of every row."""
+    """doc_id, signatures, fingerprint of every row.  Null texts are empty; an empty table gives an empty result."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return add_signatures(source, "text", "signatures").select("doc_id", "signatures", as_string(F.col("signatures")).alias("fingerprint"))
 
@@ -116,8 +133,9 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Each text against its edited form and against the next document, in descending doc_id (after the last: the first).
 
     The edited text has its last third (floor of its code points) replaced by the first as many code points of the next
-    document.  Returns doc_id, n_chars, edited_text, signatures, edited_signatures, next_signatures, near_edited, near_next.  A null text is
-    empty; a null doc_id is the smallest; rows with one doc_id are ordered by text; a single document is its own next.
+    document.  Returns doc_id, n_chars, edited_text, signatures, edited_signatures, next_signatures, near_edited, near_next, and whether
+    each is a near copy at THRESHOLD (set lengths in one partition or two neighbours, then the similarity).  A null text is
+    empty; a null doc_id is the smallest; rows with one doc_id are ordered by text; a single document is its own next; an empty table gives an empty result.
     """
     rows = in_next_order(docs, id_col, text_col).repartition("bucket")
     rows = add_signatures(rows, "text", "signatures")
@@ -128,7 +146,12 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("edited_text", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next_text"), F.lit(1), cut)))
     rows = rows.select("doc_id", "n_chars", "edited_text", "signatures", "next_signatures")
     rows = add_signatures(rows, "edited_text", "edited_signatures")
-    return rows.withColumn("near_edited", jaccard(F.col("signatures"), F.col("edited_signatures"))).withColumn("near_next", jaccard(F.col("signatures"), F.col("next_signatures")))
+    for name in ("edited", "next"):
+        other = F.col(f"{name}_signatures")
+        rows = rows.withColumn(f"near_{name}", jaccard(F.col("signatures"), other))
+        close = F.abs(length_band(F.size("signatures"), THRESHOLD) - length_band(F.size(other), THRESHOLD)) <= 1
+        rows = rows.withColumn(f"copy_{name}", close & (F.col(f"near_{name}") >= THRESHOLD))
+    return rows
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +160,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A class is all rows with one fingerprint; its id is a hash-free number given when the classes are written.  Each class's signatures are ordered
     by how many classes hold them, rarest first, so a signature that many texts share leads only where a text has nothing
     rarer.  Set lengths are partitioned geometrically by the threshold: lengths that can reach it lie in one
-    partition or in two neighbours.
+    partition or in two neighbours.  Null texts are empty, and empty sets have no pairs; repeated rows share a class; an empty table gives two empty results.
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "spot-rows")
     classes = materialise(rows.groupBy("fingerprint").agg(F.first("signatures").alias("signatures")).withColumn("class_id", F.monotonically_increasing_id()), "spot-classes")
@@ -147,8 +170,7 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = each.join(held, "s").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by_df"))
     need = F.ceil(F.col("n") * F.lit(threshold)).cast("int")
     prefix = ranked.select("class_id", "n", F.posexplode(F.transform(F.slice("by_df", F.lit(1), F.col("n") - need + 1), lambda x: x["s"])).alias("at", "s"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    prefix = materialise(prefix.withColumn("band", band).filter("n > 0"), "spot-prefix")
+    prefix = materialise(prefix.withColumn("band", length_band(F.col("n"), threshold)).filter("n > 0"), "spot-prefix")
     left = prefix.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), "s", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     right = prefix.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), "s", "band")
     least = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
