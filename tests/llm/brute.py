@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import regex
 import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
@@ -115,3 +116,47 @@ def edited(docs):
         k = len(t) // 3
         out[i] = (len(t), sha(t[: len(t) - k] + n[:k]))
     return out
+
+
+def murmur3(text):
+    """The engine's 32-bit hash of a string: Murmur3 x86 with seed 42, the last bytes mixed one by one as signed numbers."""
+    data, h, mask = text.encode(), 42, 0xFFFFFFFF
+    whole = len(data) // 4 * 4
+    blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [b - 256 if b > 127 else b for b in data[whole:]]
+    for k in blocks:
+        k = k * 0xCC9E2D51 & mask
+        k = (k << 15 | k >> 17) * 0x1B873593 & mask
+        h ^= k
+        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def spot_set(text, anchors, chain=3):
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    content = [i for i, w in enumerate(words) if w not in anchors]
+    if not content:
+        return {murmur3(text)} if text else set()
+    starts = [k for k, i in enumerate(content) if i == 0 or words[i - 1] in anchors or (i >= chain and not any(w in anchors for w in words[i - chain : i]))]
+    return {murmur3(" ".join(words[i] for i in content[k : k + chain])) for k in starts}
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def spots(docs, anchors):
+    """doc_id -> (fingerprint, edited_fingerprint, near_edited, near_next, copy_edited, copy_next)."""
+    order = sorted(docs, reverse=True)
+    as_hex = lambda s: "".join(f"{x & 0xFFFFFFFF:08x}" for x in sorted(s))
+    out = {}
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        t, n = t or "", n or ""
+        k = len(t) // 3
+        own, edited, following = (spot_set(x, anchors) for x in (t, t[: len(t) - k] + n[:k], n))
+        e, f = likeness(own, edited), likeness(own, following)
+        out[i] = (as_hex(own), as_hex(edited), e, f, e >= 0.8, f >= 0.8)
+    return out
