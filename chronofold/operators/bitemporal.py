@@ -19,9 +19,15 @@ def status_intervals(facts: DataFrame, entity: list[str], order: list[str], time
     return ends.select(*entity, F.col("_k").alias("key"), F.col(time).alias("valid_from"), "valid_to").filter("valid_to is null or valid_from < valid_to")
 
 
-def as_of(intervals: DataFrame, points: DataFrame, point: str = "t") -> DataFrame:
-    """Intervals that hold at each point (start <= t < end); points are a small side, sent to every task behind Spark's own size check."""
-    return intervals.join(points, (F.col("valid_from") <= F.col(point)) & (F.col("valid_to").isNull() | (F.col(point) < F.col("valid_to"))))
+def as_of(intervals: DataFrame, points: DataFrame, point: str = "t", known: str | None = None) -> DataFrame:
+    """Intervals that hold at each point (start <= t < end); points are a small side, sent to every task behind Spark's own size check.
+
+    With ``known``, a column of the points, also on the recorded axis: recorded_from <= known < recorded_to, open where that is null.
+    """
+    on = (F.col("valid_from") <= F.col(point)) & (F.col("valid_to").isNull() | (F.col(point) < F.col("valid_to")))
+    if known is not None:
+        on &= (F.col("recorded_from") <= F.col(known)) & (F.col("recorded_to").isNull() | (F.col(known) < F.col("recorded_to")))
+    return intervals.join(points, on)
 
 
 def clip(intervals: DataFrame, low: Column, high: Column) -> DataFrame:
@@ -51,7 +57,7 @@ def run_diff(members: DataFrame, before: DataFrame, keys: list[str], value: str)
 
 
 def evidence_winner(assertions: DataFrame, triple: list[str], rank: Column, confidence: str, ident: str) -> DataFrame:
-    """Per triple: highest rank, then confidence, then smallest id; the number of losers and the smallest of them."""
+    """Per triple: highest rank, then confidence, then smallest id; and the number of losers, which ``evidence_losers`` lists."""
     ranked = assertions.withColumn("_r", rank)
     best = F.min_by(F.struct(ident, "_r", confidence), F.struct(-F.col("_r"), -F.col(confidence), F.col(ident)))
     return ranked.groupBy(*triple).agg(best.alias("b"), F.count("*").alias("n")).select(
@@ -59,8 +65,16 @@ def evidence_winner(assertions: DataFrame, triple: list[str], rank: Column, conf
     )
 
 
+def evidence_losers(assertions: DataFrame, winners: DataFrame, triple: list[str], ident: str) -> DataFrame:
+    """The assertions that lost their triple, a row each: the triple, its winner, loser.  However many there are, no list of them is built."""
+    return assertions.select(*triple, F.col(ident).alias("loser")).join(winners.select(*triple, "winner"), triple).filter("loser <> winner")
+
+
 def next_pass(runs: DataFrame, target: list[str], order: list[str], failed: str, passed: str, ident: str) -> DataFrame:
-    """Each failing run with the earliest later pass of its target (strict on the order key), else null."""
-    later = Window.partitionBy(*target).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    fix = F.first(F.when(F.col(passed), F.col(ident)), ignorenulls=True).over(later)
+    """Each failing run with the earliest later pass of its target (strict on the order key), else null.
+
+    Read backwards, so the frame only grows and each row costs the same however many runs a target has.
+    """
+    ahead = Window.partitionBy(*target).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    fix = F.last(F.when(F.col(passed), F.col(ident)), ignorenulls=True).over(ahead)
     return runs.withColumn("fixed_by", fix).filter(failed)

@@ -10,10 +10,10 @@ from chronofold.operators import merge
 
 def session_fold(events: DataFrame) -> DataFrame:
     """Streams folded to sessions: earliest start, furthest status, newest head, smallest value, event count."""
-    rank = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type").isin("click", "view"), 1).otherwise(0)
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type").isin("click", "view"), "output_observed").otherwise("started")
     head = merge.newest_wins(["event_type", "value", "event_id"], ["occurred_at", "event_id"])
     return events.groupBy("stream_id").agg(
-        merge.min_non_null("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_at"), merge.advance_status(rank).alias("status"),
+        merge.min_non_null("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_at"), merge.advance_status(status, ["occurred_at", "event_id"]).alias("status"),
         head.alias("head"), merge.min_non_null("value").alias("min_value"), F.count("*").alias("n_events"),
     ).select("stream_id", "started_at", "last_at", "status", F.col("head.event_type").alias("head_type"), F.col("head.value").alias("head_value"), F.col("head.event_id").alias("head_id"), "min_value", "n_events")
 

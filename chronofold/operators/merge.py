@@ -18,10 +18,24 @@ def newest_wins(columns: list[str], order: list[str]) -> Column:
     return F.max_by(F.struct(*columns), F.struct(*order))
 
 
-def advance_status(rank: Column) -> Column:
-    """The label of the highest rank reached; an equal rank never replaces."""
-    top = F.max(rank)
-    return F.when(top == 2, "completed").when(top == 1, "output_observed").otherwise("started")
+def status_rank(status: Column) -> Column:
+    """Place of a status in the lattice; null for other labels."""
+    return F.coalesce(*[F.when(status == k, r) for k, r in RANKS.items()])
+
+
+def advance_status(status: Column, order: list[str]) -> Column:
+    """The label that reached the highest rank, by the earliest event that did: an equal rank never replaces."""
+    return F.min_by(status, F.struct(-status_rank(status), *order))
+
+
+def fill_once(column: str) -> Column:
+    """The one non-null value that all writers agree on; the smallest where they do not, which ``disagree`` tells."""
+    return F.min(column)
+
+
+def disagree(column: str) -> Column:
+    """Whether the non-null values of a fill-once property differ."""
+    return F.coalesce(F.min(column) != F.max(column), F.lit(False))
 
 
 def provenance(column: str) -> Column:
