@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.operators import bitemporal as bt
-from chronofold.operators import graph
+from chronofold.operators import graph, timelines
 from chronofold.sources.tables import ledger, table
 from chronofold.plans.ledger_queries import EV
 
@@ -100,18 +100,17 @@ SELECT user_id, CAST(sum(n) AS BIGINT) AS n_observed, min(first_seen) AS first_s
 
 
 def _timeline(spark, d):
-    """Runs x files of a customer: present with the smallest supplier, else unknown where the run forbids absence, else absent."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    line = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 8).alias("file_id"), "l_suppkey")
-    member = line.join(o, line.l_orderkey == o.o_orderkey).groupBy("o_custkey", "o_orderkey", "file_id").agg(F.min("l_suppkey").alias("revision"))
-    files = member.select("o_custkey", "file_id").distinct()
-    grid = o.join(files, "o_custkey").join(member, ["o_custkey", "o_orderkey", "file_id"], "left")
-    status = F.when(F.col("revision").isNotNull(), "present").when(F.col("o_orderstatus") == "P", "unknown").otherwise("absent")
-    return grid.withColumn("status", status)
+    """What a customer's orders say of its files: present with the smallest supplier, absent at the first order between that permits it (all but those of status P)."""
+    o = table(spark, d, "orders")
+    runs = o.select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("at"), (F.col("o_orderstatus") != "P").alias("permits"))
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_partkey") % 8).alias("file_id"), F.col("l_suppkey").alias("revision"))
+    members = line.join(runs.select("scope", "run"), "run")
+    return timelines.with_absences(runs, timelines.file_items(members))
 
 
 def _intervals(spark, d):
-    return bt.status_intervals(_timeline(spark, d), ["o_custkey", "file_id"], ["o_orderdate", "o_orderkey"], "o_orderdate", "status", "revision")
+    found = bt.status_intervals(_timeline(spark, d), ["scope", "item"], ["at", "run"], "at", "status", "key")
+    return found.select(F.col("scope").alias("o_custkey"), F.col("item").alias("file_id"), "key", "valid_from", "valid_to")
 
 
 def file_intervals(spark, d):
