@@ -86,8 +86,8 @@ def jaccard(a: Column, b: Column, threshold: float = 0.0) -> Column:
 
 
 def _constants(values: list, kind: str) -> Column:
-    """A constant array from one literal, so that its length costs no expression."""
-    return F.filter(F.split(F.lit(",".join(map(str, values))), ","), lambda x: x != "").cast(kind)
+    """A constant array from one literal: its length costs no expression, and it is computed once, not for each row."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(kind) if values else F.array().cast(kind)
 
 
 def _bucket(cuts: list) -> Column:
