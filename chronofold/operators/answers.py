@@ -44,16 +44,26 @@ def micro_score(priority: Column, tier: Column, exact: Column, distance: Column,
     return F.bround(total * 1_000_000, 0).cast("long")
 
 
+def time_ranks(times: DataFrame, slices: int = 1024) -> DataFrame:
+    """(_t, rank_of): the place of each distinct time ``_t`` scaled to [0, 1]; a single time is 1.
+
+    Times are dealt to ``slices`` equal spans; only the spans' counts are put in order together, so no window holds all times.
+    """
+    micros = F.unix_micros(F.col("_t").cast("timestamp"))
+    ends = times.agg(F.min(micros).alias("low"), F.max(micros).alias("high"), F.count("*").alias("n"))  # one row
+    dealt = times.crossJoin(F.broadcast(ends)).withColumn("slice", F.floor((micros - F.col("low")) / (F.col("high") - F.col("low") + 1) * slices))
+    counts = dealt.groupBy("slice").agg(F.count("*").alias("own"))  # at most ``slices`` rows
+    before = counts.select("slice", (F.sum("own").over(Window.orderBy("slice")) - F.col("own")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("_t")) + F.col("before")
+    return dealt.join(F.broadcast(before), "slice").select("_t", F.when(F.col("n") == 1, 1.0).otherwise((place - 1) / (F.col("n") - 1)).alias("rank_of"))
+
+
 def rank_candidates(merged: DataFrame, cap: int = MAX_CANDIDATES) -> DataFrame:
     """The best ``cap`` candidates with score and rank (1 first), ties by item_id; ``capped`` tells whether some were left out.
 
     Recency is the position among the distinct times of all candidates, scaled to [0, 1]; a single time counts 1.
     """
-    times = merged.filter("recency is not null").select("recency").distinct()
-    # the answer's candidates come from capped reads, so their distinct times are few enough for one sorted window
-    span = times.agg(F.count("*").alias("n"))
-    scaled = times.withColumn("r", F.row_number().over(Window.orderBy("recency"))).crossJoin(F.broadcast(span))  # one row
-    scaled = scaled.select(F.col("recency").alias("_t"), F.when(F.col("n") == 1, 1.0).otherwise((F.col("r") - 1) / (F.col("n") - 1)).alias("rank_of"))
+    scaled = time_ranks(merged.filter("recency is not null").select(F.col("recency").alias("_t")).distinct())
     scored = merged.join(scaled, merged.recency == scaled["_t"], "left").drop("_t")
     scored = scored.withColumn("score", micro_score(*[F.col(c) for c in ("priority", "tier", "exact_scope", "distance", "match", "rank_of")])).drop("rank_of")
     first = scored.orderBy(F.desc("score"), "item_id").limit(cap + 1)

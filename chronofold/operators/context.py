@@ -29,6 +29,7 @@ STOP_WORDS = frozenset(
 MAX_QUERY, MAX_TOKENS, MAX_TOKEN, ANCHORS, DEPTH = 1000, 16, 48, 5, 2
 EXACT = ["scip", "git", "test"]
 CAMEL, TOKEN = "(?<=[a-z0-9])(?=[A-Z])", "[0-9a-zà-öø-ÿ]+"
+WORD_CHARACTER = re.compile(TOKEN)
 
 
 class RequestError(ValueError):
@@ -45,11 +46,23 @@ class World:
 
 
 def query_tokens(text: str) -> list[str]:
-    """The first distinct words, camel case split before lower-casing, without function words."""
+    """The first distinct words without function words; a capital after a small letter or a digit begins one.
+
+    One scan over the characters, for the one short text of a question; ``scalars.query_tokens`` is the same rule for a column.
+    """
     if len(text) > MAX_QUERY:
         raise RequestError(f"a query has at most {MAX_QUERY} characters")
-    words = re.findall(TOKEN, re.sub(CAMEL, " ", text).lower())
-    return list(dict.fromkeys(w for w in words if 2 <= len(w) <= MAX_TOKEN and w not in STOP_WORDS))[:MAX_TOKENS]
+    found: dict[str, None] = {}
+    word, before = "", ""
+    for char in f"{text} ":
+        small = char.lower()
+        inside = WORD_CHARACTER.fullmatch(small) is not None
+        if word and (not inside or ("A" <= char <= "Z" and ("a" <= before <= "z" or "0" <= before <= "9"))):
+            if 1 < len(word) <= MAX_TOKEN and word not in STOP_WORDS:
+                found[word] = None
+            word = ""
+        word, before = (word + small if inside else ""), char
+    return [*found][:MAX_TOKENS]
 
 
 def overlap(tokens: list[str], names: Column) -> Column:
@@ -203,7 +216,7 @@ def decision_history(world: World, query: str) -> DataFrame:
     matched = _with_hits(world.decisions, overlap(query_tokens(query), decision_words()), normal_hits(world.hits))
     named = matched.filter("match > 0").select("id")
     links = world.decisions.select(F.col("id").alias("src"), F.explode(F.array("supersedes_id", "superseded_by")).alias("dst")).filter("dst is not null")
-    chosen = graph.closure(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), named) if named.limit(1).count() else matched.select("id")
+    chosen = graph.closure(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), named) if not named.isEmpty() else matched.select("id")
     return _all([decision_items(matched.join(chosen.distinct(), "id", "left_semi"), priority=F.when(F.col("standing") == "active", 1).otherwise(0), match=F.col("match"))])
 
 
@@ -213,5 +226,6 @@ def failure_history(world: World, start, end, query: str = "", fingerprint: str
     if fingerprint is not None:
         return _all([failure_items(seen.filter(F.col("fingerprint") == fingerprint), match=1.0)])
     matched = _with_hits(seen, overlap(query_tokens(query), failure_words()), normal_hits(world.hits))
-    some = matched.filter("match > 0")
-    return _all([failure_items(some if some.limit(1).count() else matched, match=F.col("match"))])
+    some = matched.agg(F.coalesce(F.bool_or(F.col("match") > 0), F.lit(False)).alias("some"))
+    chosen = matched.crossJoin(F.broadcast(some)).filter((F.col("match") > 0) | ~F.col("some")).drop("some")  # one row
+    return _all([failure_items(chosen, match=F.col("match"))])

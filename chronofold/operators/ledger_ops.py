@@ -65,12 +65,12 @@ def freshness(box: DataFrame, recent: int = 1000) -> DataFrame:
     """
     oldest = box.agg(F.min(F.when(F.col("status") == "pending", F.col("outbox_id"))).alias("oldest_waiting"))
     done = box.filter("status = 'delivered'").crossJoin(F.broadcast(oldest)).filter("oldest_waiting is null or outbox_id < oldest_waiting")
-    mark = done.agg(F.max("outbox_id").alias("watermark"))
-    newest = box.filter("status = 'delivered'").crossJoin(F.broadcast(mark)).filter("outbox_id <= watermark").orderBy(F.desc("outbox_id")).limit(recent)
-    instant = newest.agg(F.max(F.least("observed_at", "occurred_at")).alias("valid_instant"))
-    beyond = box.filter("event_type in ('error', 'purchase')").crossJoin(F.broadcast(mark)).filter("outbox_id > watermark")
+    # the newest rows below the oldest waiting one give the watermark, which is the first of them, and the instant
+    newest = done.orderBy(F.desc("outbox_id")).limit(recent)
+    mark = newest.agg(F.max("outbox_id").alias("watermark"), F.max(F.least("observed_at", "occurred_at")).alias("valid_instant"))
+    beyond = box.filter("event_type in ('error', 'purchase')").crossJoin(F.broadcast(mark.select("watermark"))).filter("outbox_id > watermark")
     known = beyond.agg((F.min("observed_at") - F.expr("interval 1 microsecond")).alias("known_until"))
-    return oldest.crossJoin(mark).crossJoin(instant).crossJoin(known).select(
+    return oldest.crossJoin(mark).crossJoin(known).select(
         "oldest_waiting", "watermark", "valid_instant", "known_until", F.least("valid_instant", "known_until").alias("effective_at")
     )
 

@@ -112,12 +112,45 @@ def latest_before(df: DataFrame, scope: list[str], order: list[str], binds: str,
 def set_digest(rows: DataFrame, scope: list[str], line: Column, name: str) -> DataFrame:
     """Per scope the number of its rows and an order-independent digest: row hashes in 4,096 buckets by their first digits, then the buckets' digests.
 
-    No task or row holds more than one bucket's hashes or the 4,096 bucket digests of a scope.
+    A bucket's hashes are sorted and run through the hash one by one, so a task holds a batch of them however large the bucket is; no row
+    holds more than the 4,096 bucket digests of a scope.
     """
-    h = rows.select(*scope, F.sha2(line, 256).alias("h"))
-    buckets = h.groupBy(*scope, F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("bh"), F.count("*").alias("n"))
+    import hashlib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    h = F.sha2(line, 256)
+    each = rows.select(F.to_json(F.struct(*scope)).alias("key"), F.substring(h, 1, 3).alias("b"), h.alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, n = None, None, 0
+        for batch in batches:
+            out = []
+            for own, text in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+                if own != at:
+                    if at is not None:
+                        out.append((*at, digest.hexdigest(), n))
+                    at, digest, n = own, hashlib.sha256(), 0
+                digest.update(text.encode())
+                n += 1
+            if out:
+                yield _bucket_rows(out)
+        if at is not None:
+            yield _bucket_rows([(*at, digest.hexdigest(), n)])
+
+    buckets = each.repartition("key", "b").sortWithinPartitions("key", "b", "h").mapInArrow(run, "key string, b string, bh string, n long")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "bh"))), lambda x: x["bh"]), "")
-    return buckets.groupBy(*scope).agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias(name))
+    out = buckets.groupBy("key").agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias(name))
+    kinds = rows.select(*scope).schema
+    return out.select(F.from_json("key", kinds).alias("s"), "n", name).select("s.*", "n", name)
+
+
+def _bucket_rows(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "b", "bh", "n"])
 
 
 def snapshot_id(entries: DataFrame, scope: list[str], columns: list[str]) -> DataFrame:

@@ -118,7 +118,7 @@ def _test_runs(spark, d):
     """Order lines as observations of a run (an order), later ones correcting earlier ones; a line validates a commit (supplier), else a snapshot (part)."""
     line = table(spark, d, "lineitem")
     return line.select(
-        F.col("l_orderkey").alias("run_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), F.col("l_shipdate").alias("occurred_at"), F.col("l_shipdate").alias("recorded_at"),
+        F.col("l_orderkey").alias("run_id"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey") % 1000).alias("event_id"), F.col("l_shipdate").alias("occurred_at"), F.col("l_shipdate").alias("recorded_at"),
         F.when(F.col("l_linestatus") == "F", "failed").otherwise("passed").alias("status"), F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("n_tests"),
         F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("commit_id"), F.when(F.col("l_returnflag") == "N", F.col("l_partkey")).alias("snapshot_id"),
     )
@@ -132,7 +132,7 @@ def validates_edges(spark, d):
     return folds.edges_of_newest(_test_runs(spark, d), "run_id", {"commit_id": "Commit", "snapshot_id": "WorkspaceSnapshot"}, "VALIDATES")
 
 
-TESTS = """t AS (SELECT l_orderkey AS run_id, l_orderkey * 10 + l_linenumber AS event_id, l_shipdate AS seen_at, CASE l_linestatus WHEN 'F' THEN 'failed' ELSE 'passed' END AS status, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS n_tests,
+TESTS = """t AS (SELECT l_orderkey AS run_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000 AS event_id, l_shipdate AS seen_at, CASE l_linestatus WHEN 'F' THEN 'failed' ELSE 'passed' END AS status, CASE WHEN l_linenumber <> 2 THEN l_quantity END AS n_tests,
   CASE WHEN l_returnflag <> 'N' THEN l_suppkey END AS commit_id, CASE WHEN l_returnflag = 'N' THEN l_partkey END AS snapshot_id, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS recorded_at FROM lineitem),
 l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seen_at DESC, event_id DESC) = 1)"""
 RESULTS_SQL = f"WITH {TESTS} SELECT run_id, status, n_tests, event_id, recorded_at FROM l"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import graph, search
 from chronofold.plans.ledger_queries import SESSION_SQL
+from chronofold.sources.scratch import shared_folder
 from chronofold.sources.tables import ledger, table
 from chronofold.streaming.fold import fold_stream
 
@@ -208,8 +209,7 @@ UNION ALL SELECT page_id, 'heading', unnest(range(len(regexp_extract_all(html, '
 
 def stream_fold_equivalence(spark, d):
     """The session fold through Structured Streaming in several micro-batches gives the batch fold's table."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    return fold_stream(ledger(spark, d), f"{root}/stream-{uuid.uuid4().hex}")
+    return fold_stream(ledger(spark, d), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 QUERIES = {f.__name__: f for f in (graph_neighborhood, graph_callers, graph_callees, graph_paths, graph_dependencies, lexical_or_topk, lexical_and_phrase, vector_topk, vector_topk_scoped, token_overlap, rank_fusion, budget_page, page_structure, stream_fold_equivalence, lexical_or_topk_all, lexical_and_phrase_all, rank_fusion_all, budget_page_all, graph_neighborhood_all, graph_callers_all, graph_callees_all, graph_paths_all)}

@@ -125,8 +125,9 @@ def failure_resolution(spark, d):
 
 
 def failure_resolution_capped(spark, d):
-    """The newest 400 observations only: a failure that lost some of its own is unknown."""
-    kept, cut = failures.newest_observations(_observations(spark, d), 400)
+    """The newest 400 observations by the cuts: a failure that lost some of its own is unknown."""
+    valid, recorded = _cuts()
+    kept, cut = failures.newest_observations(_observations(spark, d).filter((F.col("valid_from") <= valid) & (F.col("recorded_at") <= recorded)), 400)
     return failures.resolution(kept, _runs(spark, d), ["workflow", "job"], *_cuts(), cut=cut)
 
 
@@ -146,9 +147,9 @@ pt AS (SELECT failure_id, bool_and(fixed_by IS NOT NULL) AS all_fixed, arg_max({
 SELECT failure_id, n_observed, first_seen, last_seen, CASE WHEN is_cut THEN 'unknown' WHEN all_fixed AND last_seen <= closed_at THEN 'resolved' WHEN n_ci > 0 THEN 'unresolved' WHEN n_test > 0 THEN 'unsupported' ELSE 'unknown' END AS status
 FROM facts LEFT JOIN pt USING (failure_id)"""
 RESOLUTION_SQL = f"WITH {RUNS}, src AS (FROM ob), {SEEN}, {STATUS.replace('is_cut', 'false')}"
-CAPPED_SQL = f"""WITH {RUNS}, n AS (SELECT *, row_number() OVER (ORDER BY recorded_at DESC, event_id DESC) AS place FROM ob),
+CAPPED_SQL = f"""WITH {RUNS}, oc AS (SELECT * FROM ob WHERE valid_from <= TIMESTAMP '{VALID}' AND recorded_at <= TIMESTAMP '{RECORDED}'), n AS (SELECT *, row_number() OVER (ORDER BY recorded_at DESC, event_id DESC) AS place FROM oc),
 src AS (SELECT * EXCLUDE (place) FROM n WHERE place <= 400 AND failure_id NOT IN (SELECT failure_id FROM n WHERE place = 401)),
-cut AS (SELECT failure_id FROM (SELECT failure_id, count(*) AS k FROM src GROUP BY ALL) JOIN (SELECT failure_id, count(*) AS n FROM ob GROUP BY ALL) USING (failure_id) WHERE k < n), {SEEN}, {STATUS.replace('is_cut', 'failure_id IN (SELECT failure_id FROM cut)')}"""
+cut AS (SELECT failure_id FROM (SELECT failure_id, count(*) AS k FROM src GROUP BY ALL) JOIN (SELECT failure_id, count(*) AS n FROM oc GROUP BY ALL) USING (failure_id) WHERE k < n), {SEEN}, {STATUS.replace('is_cut', 'failure_id IN (SELECT failure_id FROM cut)')}"""
 
 QUERIES = {f.__name__: f for f in (ledger_verify, ledger_verify_since, failure_fix_paths, failure_resolution, failure_resolution_capped)}
 ORACLE_SQL = {"ledger_verify": VERIFY_SQL, "ledger_verify_since": SINCE_SQL, "failure_fix_paths": FIX_PATHS_SQL, "failure_resolution": RESOLUTION_SQL, "failure_resolution_capped": CAPPED_SQL}

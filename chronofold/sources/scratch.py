@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in spark.checkpoint.dir (below the warehouse where that is unset)."""
-    context = df.sparkSession.sparkContext
+    """``df`` as a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset a folder below the warehouse on a local master, and an error on a cluster."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is unset: a cluster needs a shared folder")
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         context.setCheckpointDir(root)
-    return df.checkpoint()
+    return context.getCheckpointDir().rstrip("/")

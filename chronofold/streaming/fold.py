@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FILES = 6
+#: Events in one file of the stream, which is one micro-batch; a short stream still has several.
+FILE_EVENTS, LEAST_FILES = 1_000_000, 4
 
 
 def partial(events: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def merged(states: DataFrame) -> DataFrame:
 def fold_stream(events: DataFrame, folder: str) -> DataFrame:
     """Write ``events`` as a file stream, fold it one file a micro-batch, and return the merged table."""
     spark = events.sparkSession
-    events.repartition(FILES, "event_id").write.parquet(f"{folder}/in")
+    files = max(LEAST_FILES, -(-events.count() // FILE_EVENTS))
+    events.repartition(files, "event_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
     def save(batch: DataFrame, number: int) -> None:
