@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.operators import answers, graph
+from chronofold.sources.scratch import cut_lineage
 
 # English and Portuguese function words that are no query tokens.
 STOP_WORDS = frozenset(
@@ -152,7 +153,8 @@ def _reach(world: World, anchors: DataFrame) -> DataFrame:
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
-    return answers.rank_candidates(answers.merge_candidates(reduce(DataFrame.unionByName, parts)))
+    # ranking reads the candidates several times: they are made once
+    return answers.rank_candidates(cut_lineage(answers.merge_candidates(reduce(DataFrame.unionByName, parts))))
 
 
 def context_for_task(world: World, task: str) -> DataFrame:

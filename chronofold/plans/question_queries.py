@@ -5,6 +5,7 @@ The world: the code graph of ``graph_read_queries`` (its calls, references and i
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from chronofold.operators import answers, context
 from chronofold.plans import graph_read_queries as code
 from chronofold.plans import history_queries, retrieval_queries, verify_queries
+from chronofold.sources.scratch import cut_lineage
 from chronofold.sources.tables import table
 
 SEEN = "2024-01-01 00:00:00"
@@ -45,21 +47,26 @@ def _world(spark, d):
     return context.World(nodes, edges, decisions, failures, hits)
 
 
+def _stored(world):
+    """What the walk and the matches read many times is written once, as it would lie in a store."""
+    return replace(world, nodes=cut_lineage(world.nodes), edges=cut_lineage(world.edges), failures=cut_lineage(world.failures), hits=cut_lineage(world.hits))
+
+
 def _shown(ranked):
     return ranked.select("item_id", "kind", "score", "rank", "capped")
 
 
 def question_task(spark, d):
-    return _shown(context.context_for_task(_world(spark, d), "why does shopF3 fail in part1 at step2"))
+    return _shown(context.context_for_task(_stored(_world(spark, d)), "why does shopF3 fail in part1 at step2"))
 
 
 def question_overview(spark, d):
     changes = table(spark, d, "region").select(F.concat(F.lit("g"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("added").alias("change"), F.lit(SEEN).cast("timestamp").alias("observed"), F.array("r_name").alias("citations"))
-    return _shown(context.repository_overview(_world(spark, d), changes))
+    return _shown(context.repository_overview(_stored(_world(spark, d)), changes))
 
 
 def question_symbol(spark, d):
-    return _shown(context.symbol_context(_world(spark, d), "s5"))
+    return _shown(context.symbol_context(_stored(_world(spark, d)), "s5"))
 
 
 def question_decisions(spark, d):
