@@ -39,11 +39,13 @@ class RequestError(ValueError):
 
 @dataclass(frozen=True)
 class World:
-    nodes: DataFrame
-    edges: DataFrame
-    decisions: DataFrame
-    failures: DataFrame
-    hits: DataFrame
+    """A question reads only some of the tables; those it does not read may be left out."""
+
+    nodes: DataFrame | None = None
+    edges: DataFrame | None = None
+    decisions: DataFrame | None = None
+    failures: DataFrame | None = None
+    hits: DataFrame | None = None
 
 
 def query_tokens(text: str) -> list[str]:
@@ -149,7 +151,8 @@ def in_window(failures: DataFrame, start, end) -> DataFrame:
 
 
 def _reach(world: World, anchors: DataFrame) -> DataFrame:
-    return graph.neighbourhood(world.edges, anchors.select("id"), DEPTH)
+    # both ends of a relation and the code itself look the distances up: the walk is done once
+    return cut_lineage(graph.neighbourhood(world.edges, anchors.select("id"), DEPTH))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -215,7 +218,7 @@ def symbol_context(world: World, name: str) -> DataFrame:
 
 def decision_history(world: World, query: str) -> DataFrame:
     """Decisions that match, or all if none does, closed over supersession both ways until none is new; active ones first."""
-    matched = _with_hits(world.decisions, overlap(query_tokens(query), decision_words()), normal_hits(world.hits))
+    matched = cut_lineage(_with_hits(world.decisions, overlap(query_tokens(query), decision_words()), normal_hits(world.hits)))
     named = matched.filter("match > 0").select("id")
     links = world.decisions.select(F.col("id").alias("src"), F.explode(F.array("supersedes_id", "superseded_by")).alias("dst")).filter("dst is not null")
     chosen = graph.closure(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), named) if not named.isEmpty() else matched.select("id")

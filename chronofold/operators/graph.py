@@ -13,10 +13,10 @@ def neighbourhood(edges: DataFrame, anchors: DataFrame, depth: int, directed: bo
 
     Levels are unrolled two to a plan; visited nodes are taken out by anti-join.
     """
-    links = edges.select("src", "dst").distinct()
+    links = edges.select("src", "dst")
     if not directed:
-        links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    links = cut_lineage(links)  # read once a level, made once
+        links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    links = cut_lineage(links.distinct())  # read once a level, made once
     seen = anchors.select("id").distinct().withColumn("distance", F.lit(0).cast("long"))
     frontier = seen
     for level in range(1, depth + 1):

@@ -33,9 +33,14 @@ def _decisions(spark, d):
     return newest.join(closing, "decision_id", "left")
 
 
-def decisions_as_of(spark, d):
+def judged_decisions(spark, d):
+    """``_decisions`` with the state each has at the cut; rejected ones go."""
     state = F.when(F.col("status") == "rejected", "dropped").when(F.col("superseded_at").isNotNull() & (F.col("superseded_at") <= F.lit(CUT).cast("timestamp_ntz")), "superseded").when(F.col("status") == "superseded", "superseded_undated").otherwise("active")
-    return _decisions(spark, d).select("decision_id", "event_id", "valid_from", "superseded_at", state.alias("state")).filter("state <> 'dropped'")
+    return _decisions(spark, d).withColumn("state", state).filter("state <> 'dropped'")
+
+
+def decisions_as_of(spark, d):
+    return judged_decisions(spark, d).select("decision_id", "event_id", "valid_from", "superseded_at", "state")
 
 
 VERSIONS = f"""{EV}, ver AS (SELECT event_id, user_id % 40 AS decision_id, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'superseded' ELSE 'accepted' END AS status,

@@ -5,7 +5,6 @@ The world: the code graph of ``graph_read_queries`` (its calls, references and i
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -23,33 +22,43 @@ def _time(column):
     return F.col(column).cast("timestamp")
 
 
-def _world(spark, d):
+def _code(spark, d):
     seen = F.lit(SEEN).cast("timestamp")
     n = code._nodes(spark, d).filter("current and repository_id = 'r0'")
     nodes = n.select("id", "kind", F.concat(F.lit("shop."), "id").alias("name"), F.concat(F.lit("src/"), "id").alias("path"), seen.alias("observed"), F.array(F.concat(F.lit("n:"), "id")).alias("citations"))
     e = code._edges(spark, d).filter("type in ('CALLS', 'REFERENCES', 'IMPORTS', 'DEPENDS_ON')")
     edges = e.select(F.col("assertion_id").alias("id"), "src", "dst", "type", "evidence", "confidence", F.lit(None).cast("string").alias("review"), seen.alias("observed"), F.array(F.concat(F.lit("e:"), "assertion_id")).alias("citations"))
-    v = history_queries.decisions_as_of(spark, d).join(history_queries._decisions(spark, d).select("decision_id", "status", "supersedes_id"), "decision_id")
+    return {"nodes": nodes, "edges": edges}
+
+
+def _decisions(spark, d):
+    v = history_queries.judged_decisions(spark, d)
     name = lambda c: F.concat(F.lit("d"), F.col(c).cast("string"))
     by = v.filter("supersedes_id is not null").groupBy(F.col("supersedes_id").alias("decision_id")).agg(F.min("decision_id").alias("by"))
-    decisions = v.join(by, "decision_id", "left").select(
+    return v.join(by, "decision_id", "left").select(
         name("decision_id").alias("id"), "status", F.col("state").alias("standing"), F.array(F.concat(F.lit("s"), F.col("decision_id").cast("string"))).alias("subjects"), name("supersedes_id").alias("supersedes_id"),
         F.when(F.col("state") == "superseded", name("by")).alias("superseded_by"), _time("valid_from").alias("recorded_at"), F.array(F.concat(F.lit("v:"), F.col("event_id").cast("string"))).alias("citations"),
     )
+
+
+def _failures(spark, d):
     x = verify_queries.failure_resolution(spark, d)
     f = F.col("failure_id")
-    failures = x.select(
+    return x.select(
         F.concat(F.lit("x"), f.cast("string")).alias("id"), F.concat(F.lit("part"), (f % 5).cast("string")).alias("component"), F.concat(F.lit("step"), (f % 3).cast("string")).alias("operation"), F.lit("RunFailed").alias("error_class"), (f % 50).cast("string").alias("fingerprint"),
         _time("first_seen").alias("valid_from"), F.array(_time("last_seen")).alias("observed_at"), F.col("status").alias("resolution"), F.array(F.concat(F.lit("x:"), f.cast("string"))).alias("citations"),
     )
+
+
+def _hits(spark, d):
+    seen = F.lit(SEEN).cast("timestamp")
     h = retrieval_queries.lexical_or_topk_all(spark, d)
-    hits = h.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("content_id"), F.lit("lexical").alias("source"), F.col("score").cast("double").alias("score"), F.lit("an excerpt").alias("excerpt"), seen.alias("observed"), F.array(F.concat(F.lit("c:"), F.col("doc_id").cast("string"))).alias("citations"))
-    return context.World(nodes, edges, decisions, failures, hits)
+    return h.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("content_id"), F.lit("lexical").alias("source"), F.col("score").cast("double").alias("score"), F.lit("an excerpt").alias("excerpt"), seen.alias("observed"), F.array(F.concat(F.lit("c:"), F.col("doc_id").cast("string"))).alias("citations"))
 
 
-def _stored(world):
+def _stored(parts):
     """What the walk and the matches read many times is written once, as it would lie in a store."""
-    return replace(world, nodes=cut_lineage(world.nodes), edges=cut_lineage(world.edges), failures=cut_lineage(world.failures), hits=cut_lineage(world.hits))
+    return {name: cut_lineage(part) for name, part in parts.items()}
 
 
 def _shown(ranked):
@@ -57,24 +66,26 @@ def _shown(ranked):
 
 
 def question_task(spark, d):
-    return _shown(context.context_for_task(_stored(_world(spark, d)), "why does shopF3 fail in part1 at step2"))
+    read_often = _stored({**_code(spark, d), "failures": _failures(spark, d), "hits": _hits(spark, d)})
+    return _shown(context.context_for_task(context.World(**read_often, decisions=_decisions(spark, d)), "why does shopF3 fail in part1 at step2"))
 
 
 def question_overview(spark, d):
     changes = table(spark, d, "region").select(F.concat(F.lit("g"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("added").alias("change"), F.lit(SEEN).cast("timestamp").alias("observed"), F.array("r_name").alias("citations"))
-    return _shown(context.repository_overview(_stored(_world(spark, d)), changes))
+    # each table is read once, so its filters reach the scans
+    return _shown(context.repository_overview(context.World(**_code(spark, d), decisions=_decisions(spark, d), failures=_failures(spark, d)), changes))
 
 
 def question_symbol(spark, d):
-    return _shown(context.symbol_context(_stored(_world(spark, d)), "s5"))
+    return _shown(context.symbol_context(context.World(**_stored(_code(spark, d)), decisions=_decisions(spark, d)), "s5"))
 
 
 def question_decisions(spark, d):
-    return _shown(context.decision_history(_world(spark, d), ""))
+    return _shown(context.decision_history(context.World(decisions=_decisions(spark, d), **_stored({"hits": _hits(spark, d)})), ""))
 
 
 def question_failures(spark, d):
-    return _shown(context.failure_history(_world(spark, d), datetime(1993, 1, 1), datetime(1997, 1, 1), fingerprint="7"))
+    return _shown(context.failure_history(context.World(failures=_failures(spark, d)), datetime(1993, 1, 1), datetime(1997, 1, 1), fingerprint="7"))
 
 
 SCORED = """q AS (SELECT *, CASE WHEN (SELECT count(DISTINCT seen_at) FROM u) = 1 THEN 1.0::DOUBLE ELSE (dense_rank() OVER (ORDER BY seen_at) - 1)::DOUBLE / ((SELECT count(DISTINCT seen_at) FROM u) - 1) END AS rec FROM u),
