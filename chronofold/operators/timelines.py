@@ -1,12 +1,12 @@
 """Status timelines of files, symbols and assertions over the runs of a repository, without a table of all runs times all things.
 
 runs        scope, run, at, permits (absence may be inferred); ordered by (at, run)
-members     scope, run, file_id, revision
-coverage    scope, run, file_id, complete
+sightings   scope, run, file_id, member, complete: what a run's members and coverage say of a file
 claims      scope, file_id, revision, item, key, since: a file revision that shows an item
 
 A thing has rows only at the runs that say something of it (``items``).  Between two of them a run that permits absence makes it absent, and only the first
-such run matters, so one row more at most is made for each item (``with_absences``).
+such run matters, so one row more at most is made for each item (``with_absences``).  Every join, group and window has the scope among its keys, so tables
+that are bucketed by it (``scratch.bucketed``) are folded without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,24 +33,25 @@ def numbered(runs: DataFrame) -> DataFrame:
     return placed.withColumn("gap", F.last(F.when(F.col("permits"), F.struct("n", "at", "run")), ignorenulls=True).over(back))
 
 
-def file_items(members: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
-    """(scope, run, item, status, key): present with the smallest revision, unknown where only coverage tells of a file."""
-    m = members.groupBy("scope", "run", F.col("file_id").alias("item")).agg(F.min("revision").alias("key"))
-    if coverage is None:
-        return m.withColumn("status", F.lit("present"))
-    c = coverage.select("scope", "run", F.col("file_id").alias("item")).distinct().withColumn("covered", F.lit(True))
-    return m.join(c, ["scope", "run", "item"], "full_outer").select("scope", "run", "item", F.when(F.col("key").isNotNull(), "present").otherwise("unknown").alias("status"), "key")
+def sightings(marks: DataFrame) -> DataFrame:
+    """What each run says of a file (scope, run, file_id, member, complete) from its members and coverage, which ``marks`` (scope, run, file_id, revision, complete) holds in one frame.
+
+    A member is the smallest revision and null where only coverage tells of the file; ``complete`` is null without coverage.
+    """
+    return marks.groupBy("scope", "run", "file_id").agg(F.min("revision").alias("member"), F.min("complete").alias("complete"))
+
+
+def file_items(seen: DataFrame) -> DataFrame:
+    """(scope, run, item, status, key) of sightings: present with the member, unknown where only coverage tells of a file."""
+    return seen.select("scope", "run", F.col("file_id").alias("item"), F.when(F.col("member").isNotNull(), "present").otherwise("unknown").alias("status"), F.col("member").alias("key"))
 
 
-def item_items(runs: DataFrame, members: DataFrame, coverage: DataFrame, claims: DataFrame) -> DataFrame:
+def item_items(runs: DataFrame, seen: DataFrame, claims: DataFrame) -> DataFrame:
     """The same for things that file revisions claim: present with the smallest key of a live claim (the run's member of the file is the claiming revision, claimed by then).
 
     Otherwise unknown where the run forbids absence, a member's coverage is not complete, or a file is covered but no member; else absent.
     """
-    m = members.groupBy("scope", "run", "file_id").agg(F.min("revision").alias("member"))
-    c = coverage.groupBy("scope", "run", "file_id").agg(F.min("complete").alias("complete"))
-    seen = m.join(c, ["scope", "run", "file_id"], "full_outer").join(runs.select("scope", "run", "at", "permits"), ["scope", "run"])
-    owned = seen.join(claims, ["scope", "file_id"])
+    owned = seen.join(runs.select("scope", "run", "at", "permits"), ["scope", "run"]).join(claims, ["scope", "file_id"])
     live = F.coalesce((F.col("member") == F.col("revision")) & (F.col("since") <= F.col("at")), F.lit(False))
     hidden = F.when(F.col("member").isNotNull(), ~F.coalesce("complete", F.lit(True))).otherwise(F.lit(True))
     out = owned.groupBy("scope", "run", "item").agg(F.min(F.when(live, F.col("key"))).alias("key"), F.bool_or(hidden | ~F.col("permits")).alias("hidden"))
@@ -71,9 +72,11 @@ def with_absences(runs: DataFrame, items: DataFrame) -> DataFrame:
     """The known states of each item in order of time (scope, item, at, run, status, key): its rows, and an absent one at the first run that permits it between two of them."""
     placed = items.join(numbered(runs).select("scope", "run", "at", "n", "gap"), ["scope", "run"])
     following = F.lead("n").over(Window.partitionBy("scope", "item").orderBy("n"))
-    opened = placed.withColumn("next_n", following).filter(F.col("gap").isNotNull() & (F.col("next_n").isNull() | (F.col("gap.n") < F.col("next_n"))))
-    absent = opened.select("scope", "item", "gap.at", "gap.run", F.lit("absent").alias("status"), F.lit(None).cast(dict(items.dtypes)["key"]).alias("key"))
-    return placed.select("scope", "item", "at", "run", "status", "key").unionByName(absent)
+    opened = F.col("gap").isNotNull() & (F.col("next_n").isNull() | (F.col("gap.n") < F.col("next_n")))
+    own = F.struct("at", "run", "status", "key")
+    absent = F.struct(F.col("gap.at").alias("at"), F.col("gap.run").alias("run"), F.lit("absent").alias("status"), F.lit(None).cast(dict(items.dtypes)["key"]).alias("key"))
+    # both rows of an item come from one pass over it: a union would compute the items twice
+    return placed.withColumn("next_n", following).select("scope", "item", F.inline(F.array_compact(F.array(own, F.when(opened, absent)))))
 
 
 def horizon(runs: DataFrame, intervals: DataFrame, declared: bool) -> DataFrame:

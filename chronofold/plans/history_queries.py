@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import bitemporal as bt
 from chronofold.operators import graph, timelines
+from chronofold.sources.scratch import PART_BYTES, folded, parts
 from chronofold.sources.tables import ledger, table
 from chronofold.plans.ledger_queries import EV
 
@@ -106,15 +107,16 @@ SELECT user_id, CAST(sum(n) AS BIGINT) AS n_observed, min(first_seen) AS first_s
 
 def _timeline(spark, d):
     """What a customer's orders say of its files: present with the smallest supplier, absent at the first order between that permits it (all but those of status P)."""
-    o = table(spark, d, "orders")
+    o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
+    n, by_run = parts(o, line), parts(o, line, each=4 * PART_BYTES)
     runs = o.select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("at"), (F.col("o_orderstatus") != "P").alias("permits"))
-    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_partkey") % 8).alias("file_id"), F.col("l_suppkey").alias("revision"))
-    members = line.join(runs.select("scope", "run"), "run")
-    return timelines.with_absences(runs, timelines.file_items(members))
+    lines = line.select(F.col("l_orderkey").alias("run"), (F.col("l_partkey") % 8).alias("file_id"), F.col("l_suppkey").alias("revision")).repartition(by_run, "run")
+    members = lines.join(runs.select("scope", "run").repartition(by_run, "run"), "run").withColumn("complete", F.lit(None).cast("boolean"))
+    return timelines.with_absences(runs.repartition(n, "scope"), timelines.file_items(timelines.sightings(members.repartition(n, "scope"))))
 
 
 def _intervals(spark, d):
-    found = bt.status_intervals(_timeline(spark, d), ["scope", "item"], ["at", "run"], "at", "status", "key")
+    found = folded(bt.status_intervals(_timeline(spark, d), ["scope", "item"], ["at", "run"], "at", "status", "key"))
     return found.select(F.col("scope").alias("o_custkey"), F.col("item").alias("file_id"), "key", "valid_from", "valid_to")
 
 

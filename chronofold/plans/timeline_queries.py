@@ -10,29 +10,35 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import bitemporal as bt
 from chronofold.operators import timelines as tl
+from chronofold.sources.scratch import PART_BYTES, bucketed, folded, parts
 from chronofold.sources.tables import table
 
 KNOWN, VIEW = "1996-06-01 00:00:00", "1997-01-01 00:00:00"
 
 
 def _facts(spark, d, known=None):
-    """(runs, members, coverage, claims, targets) of the facts observed by ``known``; an order's are up to 60 days after its date."""
-    o = table(spark, d, "orders")
+    """(runs, lines, number of buckets) of the facts observed by ``known``, each written once in buckets of its scopes; an order's are up to 60 days after its date."""
+    o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
+    n, by_run = parts(o, line), parts(o, line, each=4 * PART_BYTES)
     k = F.col("o_orderkey")
     o = o.withColumn("observed", F.col("o_orderdate") + F.make_dt_interval(days=(k % 4 * 20).cast("int")))
     if known is not None:
         o = o.filter(F.col("observed") <= F.lit(known).cast("timestamp_ntz"))
     outcomes = o.filter("o_orderstatus <> 'P'").select(k.alias("run"), F.col("observed").alias("event_order"), F.when((F.col("o_orderstatus") == "O") & (k % 4 == 0), "scan_incomplete").alias("error_class"))
-    runs = tl.permissions(o.select(F.col("o_custkey").alias("scope"), k.alias("run"), F.col("o_orderdate").alias("at")), outcomes)
-    line = table(spark, d, "lineitem").join(runs.select("scope", "run", "at"), F.col("l_orderkey") == F.col("run"))
-    members = line.select("scope", "run", "at", (F.col("l_partkey") % 8).alias("file_id"), F.col("l_suppkey").alias("revision"))
-    own = line.select("scope", "run", (F.col("l_partkey") % 8).alias("file_id"), (F.col("l_returnflag") != "A").alias("complete"))
-    beside = line.filter("l_returnflag = 'R'").select("scope", "run", ((F.col("l_partkey") + 1) % 8).alias("file_id"), F.lit(True).alias("complete"))
-    shown = members.groupBy("scope", "file_id", "revision").agg(F.min("at").alias("since"))
-    symbols = shown.select("*", (F.col("file_id") * 10 + F.col("revision") % 3).alias("item"), F.col("revision").alias("key"))
-    assertions = shown.select("*", (F.col("file_id") * 10 + F.col("revision") % 2).alias("item"), F.lit(1).cast("long").alias("key"))
-    targets = assertions.select("scope", "item", ((F.floor(F.col("item") / 10) + 1) % 8 * 10 + F.col("item") % 2).alias("target")).distinct()
-    return runs, members.drop("at"), own.unionByName(beside), symbols, assertions, targets
+    runs = bucketed(tl.permissions(o.select(F.col("o_custkey").alias("scope"), k.alias("run"), F.col("o_orderdate").alias("at")), outcomes), "scope", n)
+    lines = line.select(F.col("l_orderkey").alias("run"), (F.col("l_partkey") % 8).alias("file_id"), F.col("l_suppkey").alias("revision"), "l_returnflag").repartition(by_run, "run")
+    return runs, bucketed(lines.join(runs.select("scope", "run", "at").repartition(by_run, "run"), "run"), "scope", n), n
+
+
+def _seen(lines):
+    own = F.struct("file_id", "revision", (F.col("l_returnflag") != "A").alias("complete"))
+    beside = F.struct(((F.col("file_id") + 1) % 8).alias("file_id"), F.lit(None).cast(dict(lines.dtypes)["revision"]).alias("revision"), F.lit(True).alias("complete"))
+    return tl.sightings(lines.select("scope", "run", F.inline(F.array_compact(F.array(own, F.when(F.col("l_returnflag") == "R", beside))))))
+
+
+def _claims(lines, kinds, key):
+    shown = lines.groupBy("scope", "file_id", "revision").agg(F.min("at").alias("since"))
+    return shown.select("*", (F.col("file_id") * 10 + F.col("revision") % kinds).alias("item"), key.alias("key"))
 
 
 def _fold(runs, items):
@@ -41,33 +47,45 @@ def _fold(runs, items):
 
 def covered_file_intervals(spark, d):
     """Files whose absence coverage forbids to infer."""
-    runs, members, coverage, *_ = _facts(spark, d)
-    return _fold(runs, tl.file_items(members, coverage))
+    runs, lines, _ = _facts(spark, d)
+    return folded(_fold(runs, tl.file_items(_seen(lines))))
+
+
+def _items(runs, lines, n, kinds, key):
+    """Items of the claims, written once: what a task holds is one step of a timeline, and symbols serve two."""
+    return bucketed(tl.item_items(runs, _seen(lines), _claims(lines, kinds, key)), "scope", n, dealt=True)
+
+
+def _symbol_items(runs, lines, n):
+    return _items(runs, lines, n, 3, F.col("revision"))
 
 
 def symbol_intervals(spark, d, known=None):
-    runs, members, coverage, symbols, *_ = _facts(spark, d, known)
-    return _fold(runs, tl.item_items(runs, members, coverage, symbols))
+    runs, lines, n = _facts(spark, d, known)
+    return folded(_fold(runs, _symbol_items(runs, lines, n)))
 
 
-def _assertions(spark, d):
-    runs, members, coverage, symbols, assertions, targets = _facts(spark, d)
-    own = tl.item_items(runs, members, coverage, assertions)
-    return runs, _fold(runs, tl.with_target(runs, own, targets, tl.item_items(runs, members, coverage, symbols)))
+def _assertion_intervals(runs, lines, n, symbol_items):
+    key = F.lit(1).cast("long")
+    targets = _claims(lines, 2, key).select("scope", "item", ((F.floor(F.col("item") / 10) + 1) % 8 * 10 + F.col("item") % 2).alias("target")).distinct()
+    items = bucketed(tl.with_target(runs, _items(runs, lines, n, 2, key), targets, symbol_items), "scope", n, dealt=True)
+    end = F.when(F.col("item") % 10 == 1, F.lit(VIEW).cast("timestamp_ntz"))
+    return bt.clip(_fold(runs, items), F.lit("1900-01-01").cast("timestamp_ntz"), end)
 
 
 def assertion_intervals(spark, d):
     """Clipped to declared ends: an assertion of item 1, 11, ... ends with 1997."""
-    _, found = _assertions(spark, d)
-    end = F.when(F.col("item") % 10 == 1, F.lit(VIEW).cast("timestamp_ntz"))
-    return bt.clip(found, F.lit("1900-01-01").cast("timestamp_ntz"), end)
+    runs, lines, n = _facts(spark, d)
+    return folded(_assertion_intervals(runs, lines, n, _symbol_items(runs, lines, n)))
 
 
 def item_currency(spark, d):
     """Current symbols have an open last interval, current assertions one that holds at the newest run."""
-    runs, _, _, *_ = _facts(spark, d)
-    s = tl.horizon(runs, symbol_intervals(spark, d), False).withColumn("kind", F.lit("symbol"))
-    return s.unionByName(tl.horizon(runs, assertion_intervals(spark, d), True).withColumn("kind", F.lit("assertion")))
+    runs, lines, n = _facts(spark, d)
+    symbol_items = _symbol_items(runs, lines, n)
+    s = tl.horizon(runs, _fold(runs, symbol_items), False).withColumn("kind", F.lit("symbol"))
+    a = tl.horizon(runs, _assertion_intervals(runs, lines, n, symbol_items), True).withColumn("kind", F.lit("assertion"))
+    return folded(s).unionByName(folded(a))
 
 
 def symbols_as_known(spark, d):
@@ -82,14 +100,14 @@ def symbol_history(spark, d):
 
 def revision_symbols(spark, d):
     """Symbols of each customer's picked run: the last complete one, else the last."""
-    runs, *_ = _facts(spark, d)
-    picked = bt.pick_run(runs, "scope", "permits", ["at", "run"], "run").join(runs.select("run", "at"), "run")
-    return tl.revision_view(picked.select("scope", "run", "at"), symbol_intervals(spark, d))
+    runs, lines, n = _facts(spark, d)
+    picked = bt.pick_run(runs, "scope", "permits", ["at", "run"], "run").join(runs, ["scope", "run"])
+    return folded(tl.revision_view(picked.select("scope", "run", "at"), _fold(runs, _symbol_items(runs, lines, n))))
 
 
 def revision_files(spark, d):
-    runs, members, *_ = _facts(spark, d)
-    return tl.members_at(bt.pick_run(runs, "scope", "permits", ["at", "run"], "run"), members)
+    runs, lines, _ = _facts(spark, d)
+    return folded(tl.members_at(bt.pick_run(runs, "scope", "permits", ["at", "run"], "run"), lines))
 
 
 def _sql(known=None):
