@@ -117,13 +117,16 @@ def configuration_digest(parts: DataFrame, scope: str) -> DataFrame:
 
 def owner_chain(uses: DataFrame, symbols: DataFrame) -> DataFrame:
     """Uses (use_id, file_id, name, chain) resolved to the one symbol of that file and name whose owners (array) equal the chain; several or none leave it open."""
-    held = uses.join(symbols.select("file_id", "name", F.col("owners").alias("chain"), "symbol_id"), ["file_id", "name", "chain"])
-    return held.groupBy("use_id").agg(F.min("symbol_id").alias("symbol_id"), F.count_distinct("symbol_id").alias("_n")).filter("_n = 1").drop("_n")
+    key = ["file_id", "name", "chain"]
+    # grouped before the join: the symbols of one key are one row however many they are
+    named = symbols.groupBy("file_id", "name", F.col("owners").alias("chain")).agg(F.min("symbol_id").alias("_low"), F.max("symbol_id").alias("_high"))
+    held = uses.select("use_id", *key).join(named, key).groupBy("use_id").agg(F.min("_low").alias("symbol_id"), F.max("_high").alias("_high"))
+    return held.filter(F.col("symbol_id") == F.col("_high")).drop("_high")
 
 
 def package_lookup(uses: DataFrame, tops: DataFrame) -> DataFrame:
     """Uses (use_id, directory, is_test, name) resolved to the only top-level name of their package, test files apart."""
-    only = tops.groupBy("directory", "is_test", "name").agg(F.min("symbol_id").alias("symbol_id"), F.count_distinct("symbol_id").alias("_n")).filter("_n = 1").drop("_n")
+    only = tops.groupBy("directory", "is_test", "name").agg(F.min("symbol_id").alias("symbol_id"), F.max("symbol_id").alias("_high")).filter("symbol_id = _high").drop("_high")
     return uses.join(only, ["directory", "is_test", "name"]).select("use_id", "symbol_id")
 
 
