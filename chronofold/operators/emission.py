@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.sources.scratch import parts
+
 # What a relation or reference of a file claims, and how surely; how many references one source may have.
 CLAIMS = {"calls": ("CALLS", 0.5), "imports": ("IMPORTS", 0.9), "inherits": ("REFERENCES", 0.9), "references": ("REFERENCES", 0.5), "contains": ("DEFINES", 0.9)}
 SITE_ORDER = ["imports", "inherits", "calls", "references"]
@@ -27,14 +29,14 @@ def admission(wanted: DataFrame, scanned: DataFrame, sources: DataFrame, identit
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Points (file_id, start, end, and their own columns) with ``enclosing``: the smallest span that contains them, the later start among equals; null if none does.
 
-    Joined inside a file, whose spans a parse bounds.
+    A file's spans, which a parse bounds, are gathered once and each of its points looks among them: files are dealt once, over parts that grow with the input.
     """
-    keys = ["file_id", "start", "end"]
-    inside = spans.select("file_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("symbol_id").alias("_id"))
-    distinct = points.select(*keys).distinct()
-    held = distinct.join(inside, "file_id").filter((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")))
-    best = held.groupBy(*keys).agg(F.min_by("_id", F.struct(F.col("_e") - F.col("_s"), -F.col("_s"), "_id")).alias("enclosing"))
-    return points.join(best, keys, "left")
+    n = parts(points, spans)
+    size = F.col("end") - F.col("start")
+    inside = spans.repartition(n, "file_id").groupBy("file_id").agg(F.collect_list(F.struct(size.alias("size"), (-F.col("start")).alias("from"), F.col("symbol_id").alias("id"), F.col("end").alias("to"))).alias("_spans"))
+    wide = points.repartition(n, "file_id").join(inside, "file_id", "left")
+    held = F.filter("_spans", lambda x: (-x["from"] <= F.col("start")) & (F.col("end") <= x["to"]))
+    return wide.withColumn("enclosing", F.array_min(held)["id"]).drop("_spans")
 
 
 def index_matches(definitions: DataFrame, spans: DataFrame) -> DataFrame:
