@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chronofold.sources.scratch import parts
+
 SCHEMA = "repository string, seq long, path string, file_id string, basis string, old_id string, confidence double"
 
 
@@ -87,5 +89,5 @@ def walk(diffs: DataFrame) -> DataFrame:
         if held:
             yield batch_of(close())
 
-    rows = diffs.select("repository", "seq", "commit", "status", "path", "blob").repartition("repository").sortWithinPartitions("repository", "seq", "path")
+    rows = diffs.select("repository", "seq", "commit", "status", "path", "blob").repartition(parts(diffs), "repository").sortWithinPartitions("repository", "seq", "path")
     return rows.mapInArrow(fold, SCHEMA)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import emission as em
 from chronofold.operators import lineage
+from chronofold.sources.scratch import PART_BYTES, parts
 from chronofold.sources.tables import table
 
 
@@ -169,9 +170,12 @@ CONFIGURATION_SQL = "SELECT l_orderkey AS run, sha256(array_to_string(list_sort(
 def file_lineage(spark, d):
     """A customer is a repository, its orders are commits, their lines changes of eight paths: the first to name a path adds it, every fourth line deletes."""
     o = table(spark, d, "orders")
-    line = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    line = table(spark, d, "lineitem")
+    n, by_order = parts(o, line), parts(o, line, each=4 * PART_BYTES)
     path = F.concat(F.lit("p"), (F.col("l_partkey") % 8).cast("string"))
-    one = line.groupBy(F.col("o_custkey").cast("string").alias("repository"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"), F.col("o_orderkey").alias("order"), path.alias("path")).agg(F.min("l_suppkey").alias("s"))
+    orders = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("repository"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at")).repartition(by_order, "o_orderkey")
+    changed = line.select(F.col("l_orderkey").alias("order"), (F.col("l_partkey") % 8).alias("l_partkey"), "l_suppkey").repartition(by_order, "order").join(orders, F.col("order") == F.col("o_orderkey"))
+    one = changed.repartition(n, "repository").groupBy("repository", "at", "order", path.alias("path")).agg(F.min("l_suppkey").alias("s"))
     status = F.when(F.col("s") % 4 == 0, "D").when(F.col("s") % 4 == 1, "A").otherwise("M")
     from pyspark.sql import Window
 
