@@ -88,7 +88,8 @@ def coverage(files: DataFrame, losses: DataFrame, tracked: DataFrame) -> DataFra
 
 def invalid_symbols(spans: DataFrame, files: DataFrame) -> DataFrame:
     """Parsed symbols that break the rules of an extractor's answer: range outside the file's bytes or reversed, a key (file, name, kind, start) twice, a name out of bounds."""
-    wide = spans.join(files.select("file_id", "n_bytes"), "file_id", "left")
+    n = parts(spans, files)
+    wide = spans.repartition(n, "file_id").join(files.select("file_id", "n_bytes").repartition(n, "file_id"), "file_id", "left")
     twice = F.count("*").over(Window.partitionBy("file_id", "name", "kind", "start")) > 1
     fault = (
         F.when(F.col("n_bytes").isNull(), "unknown_file").when((F.col("start") < 0) | (F.col("end") < F.col("start")) | (F.col("end") > F.col("n_bytes")), "range")
@@ -99,17 +100,19 @@ def invalid_symbols(spans: DataFrame, files: DataFrame) -> DataFrame:
 
 def keyed_drafts(drafts: DataFrame, view: Column) -> DataFrame:
     """Drafts with ``claim``, the digest of their view (what they say, without how it was observed); of equal claims in a run the first stays."""
-    keyed = drafts.withColumn("claim", F.sha2(view, 256))
+    # dealt by run before the digest is made, so no digest is moved
+    keyed = drafts.repartition(parts(drafts), "run").withColumn("claim", F.sha2(view, 256))
     w = Window.partitionBy("run", "claim").orderBy("at", "draft_id")
     return keyed.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 def submit(drafts: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(drafts to send with their batch of 500, conflicts): a draft whose key (key, claim) the ledger has is skipped if the claim is equal, refused if not."""
-    held = drafts.join(ledger.select("key", F.col("claim").alias("_c")), "key", "left")
-    fresh = held.filter("_c is null").drop("_c")
+    said = F.unhex(F.sha2("claim", 256))  # claims are compared by 32 bytes; the text of one moves only if the caller reads it
+    held = drafts.withColumn("_own", said).join(ledger.select("key", said.alias("_c")), "key", "left")
+    fresh = held.filter("_c is null").drop("_c", "_own")
     place = F.row_number().over(Window.partitionBy("run").orderBy("at", "draft_id")) - 1
-    return fresh.withColumn("batch", F.floor(place / 500)), held.filter("_c <> claim").drop("_c")
+    return fresh.withColumn("batch", F.floor(place / 500)), held.filter("_c <> _own").drop("_c", "_own")
 
 
 def configuration_digest(parts: DataFrame, scope: str) -> DataFrame:
