@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.operators import graph_reads as g
+from chronofold.sources.scratch import parts
 from chronofold.sources.tables import table
 
 R = "r0"
@@ -32,14 +33,15 @@ def _edges(spark, d):
     s = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
     defines = line.filter("l_linenumber = 1").select(F.lit("DEFINES").alias("type"), f("l_suppkey").alias("src"), s("l_partkey").alias("dst"))
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    code = line.withColumn("next_part", after).filter("next_part is not null")
+    n = parts(line)
+    code = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition(n, "l_orderkey").withColumn("next_part", after).filter("next_part is not null")
     kind = F.when(F.col("l_returnflag") == "A", "CALLS").when(F.col("l_returnflag") == "R", "REFERENCES").otherwise("IMPORTS")
     calls = code.select(kind.alias("type"), s("l_partkey").alias("src"), F.concat(F.lit("s"), F.col("next_part").cast("string")).alias("dst"))
     sup = table(spark, d, "supplier")
     inside = sup.select(F.lit("IN_MODULE").alias("type"), f("s_suppkey").alias("src"), F.concat(F.lit("m"), F.col("s_nationkey").cast("string")).alias("dst"))
     top = sup.select(F.lit("IN_REPOSITORY").alias("type"), f("s_suppkey").alias("src"), F.lit(R).alias("dst"))
     needs = line.filter("l_linenumber = 2").select(F.lit("DEPENDS_ON").alias("type"), f("l_suppkey").alias("src"), F.concat(F.lit("ext:"), "l_returnflag").alias("dst"))
-    every = defines.unionByName(calls).unionByName(inside).unionByName(top).unionByName(needs).distinct()
+    every = defines.unionByName(calls).unionByName(inside).unionByName(top).unionByName(needs).repartition(n, "src", "dst").distinct()
     return every.select(
         "type", "src", "dst", F.lit(R).alias("repository_id"), F.concat_ws("|", "type", "src", "dst").alias("assertion_id"), F.when(F.col("type") == "CALLS", 0.5).otherwise(0.9).alias("confidence"), F.lit("tree_sitter").alias("evidence"),
     )

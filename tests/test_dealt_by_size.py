@@ -33,3 +33,12 @@ def test_the_run_is_dealt_before_the_digest(spark):
     plan = keyed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("sha2") < plan.index("RepartitionByExpression")
     assert sorted(r["draft_id"] for r in keyed.collect()) == [1, 3]
+
+
+def test_code_edges_are_dealt_by_the_files(spark, monkeypatch):
+    from chronofold.plans import graph_read_queries
+
+    monkeypatch.setattr(scratch.parts, "__kwdefaults__", {"each": 8000})
+    plan = graph_read_queries._edges(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression [" in line]
+    assert len(dealt) == 2 and all(int(line.split("], ")[1].split(",")[0]) > 10 for line in dealt)
