@@ -86,8 +86,8 @@ def walk(diffs: DataFrame) -> DataFrame:
                 held.append((status, path, blob))
             if out:
                 yield batch_of(out)
-        if held:
-            yield batch_of(close())
+        if held and (last := close()):  # a commit that only deletes unknown paths says nothing
+            yield batch_of(last)
 
     rows = diffs.select("repository", "seq", "commit", "status", "path", "blob").repartition(parts(diffs), "repository").sortWithinPartitions("repository", "seq", "path")
     return rows.mapInArrow(fold, SCHEMA)
