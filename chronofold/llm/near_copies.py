@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from chronofold.llm.simhash import drop_all_but_best, majority, shingle_hashes,
 SHINGLE, SIMILARITY, EPSILON, PAIRS_AT_ONCE = 5, 0.8, 1e-9, 65536
 #: One text in so many is sampled for common shingles; a common one is held by so many sampled texts; so many are kept.
 SAMPLED, COMMON, MOST_COMMON = 16, 3, 200_000
-#: Rows of the index that a task is meant to sort.
-POSTINGS_AT_ONCE = 1 << 20
+#: Rows of the index that a task is meant to sort, and those of a batch: they are six numbers.
+POSTINGS_AT_ONCE, BATCH = 1 << 20, 1 << 15
 
 
 def _least(n: int) -> int:
@@ -214,6 +215,18 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
 
 
+@contextmanager
+def _number_batches(spark):
+    """Larger Arrow batches for the writes made inside: ``bounded_batches`` is for rows with texts, and its limit of bytes stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def similar_edges(held: Held, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes (cls, fp, n) that have the similarity; their components are those of all such pairs."""
     spark = classes.sparkSession
@@ -221,7 +234,9 @@ def similar_edges(held: Held, classes: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows) // POSTINGS_AT_ONCE)
     long = [F.col(c).cast("long").alias(c) for c in ("n", "pos")]
     postings = held.of(classes.select("cls"), "cls", "n", "prefix").select("cls", "n", F.posexplode("prefix").alias("pos", "s")).repartition(parts, "s").sortWithinPartitions("s", "n", "cls")
-    posts = materialise(postings.select("s", "cls", *long).mapInArrow(_shared_postings, "s long, cls long, n long, pos long, k long, lead long"), "near-postings")
+    shared = postings.select("s", "cls", *long).mapInArrow(_shared_postings, "s long, cls long, n long, pos long, k long, lead long")
+    with _number_batches(spark):
+        posts = materialise(shared, "near-postings")
     star = posts.filter("lead is not null").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
     by_fp = materialise(classes.groupBy("fp").agg(F.min("cls").alias("first")), "near-fps")
     same = classes.join(by_fp, "fp").select(F.col("first").alias("a"), F.col("cls").alias("b"))
@@ -233,7 +248,8 @@ def similar_edges(held: Held, classes: DataFrame) -> DataFrame:
     roots = connected_components(edges)
     placed = posts.filter("k > 2").join(roots, posts.cls == roots.node, "left").select("s", "cls", F.coalesce("root", "cls").alias("comp"), "n", "pos")
     found = placed.repartition("s").sortWithinPartitions("s", "n", "cls").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    more = materialise(found.join(tested, ["a", "b"], "left_anti"), "near-more")
+    with _number_batches(spark):
+        more = materialise(found.join(tested, ["a", "b"], "left_anti"), "near-more")
     return edges.unionByName(alike(more, held))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from chronofold.llm import near_copies
 
@@ -49,3 +50,19 @@ def test_sets_of_pairs_that_cannot_be_alike_are_not_written_and_texts_not_shuffl
     assert rows["near-tested"] + rows["near-more"] > 60
     assert rows["near-sets"] <= 12
     assert all("SortMergeJoin" not in p for p in plans["near-sets"])
+
+
+def test_groups_stay_whole_however_batches_cut_them():
+    rng = random.Random(9)
+    rows = sorted((rng.randint(0, 30), k) for k in range(200))
+    for size in (1, 2, 7, 200):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)]
+        parts.insert(1, [])
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in p], pa.int64()) for c in (0, 1)], names=["s", "k"]) for p in parts]
+        seen, groups = [], []
+        for (s, k), cuts in near_copies._whole_groups(iter(batches)):
+            seen += zip(s.tolist(), k.tolist(), strict=True)
+            groups += [set(s[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert seen == rows
+        assert [len(g) for g in groups] == [1] * len({s for s, _ in rows})
+    assert list(near_copies._whole_groups(iter([]))) == []
